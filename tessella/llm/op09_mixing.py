@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, stage
+from .common import id_in, id_out, maybe_broadcast, stage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -97,8 +97,7 @@ def mix_plan(narrow: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -
     blocks = blocks.select("s", "slot", "block", (F.col("block") * block_words).alias("from"), F.least((F.col("block") + 1) * block_words, "source_size", F.col("quota") - F.col("round") * F.col("source_size")).alias("to"))
 
     # each source's shuffled stream: a document covers the words [at, at + size)
-    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))  # noqa: E731  a key that null has as well
-    docs = narrow.withColumn("key", key(F.col("k"))).join(src.select("s", key(F.col("k")).alias("key")), "key").drop("key")
+    docs = narrow.withColumn("key", _key(F.col("k"))).join(src.select("s", _key(F.col("k")).alias("key")), "key").drop("key")
     hashed = F.xxhash64(F.lit(seed), F.col("id"))
     docs = docs.filter("size > 0").withColumns({"h": hashed, "bucket": F.shiftrightunsigned(hashed, 56)})
     docs = _offsets(docs, ["s"], "bucket", ["h", "id", "size"], "size", "at").select("id", "s", "k", "size", "at")
@@ -107,28 +106,49 @@ def mix_plan(narrow: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -
     return src, parts.join(blocks, ["s", "block"]).withColumn("words", words).filter("words > 0").select("id", "s", "k", "size", "at", "slot", "words")
 
 
+def _key(source: Column) -> Column:
+    """A source's name as a join key that null has as well."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _taken(df: DataFrame, key: str, text: str, source: str, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (id, k, size), the sources, and what equal rows (id, key, size) are taken together: all_taken."""
+    narrow, _ = stage(df.select(id_in(key).alias("id"), F.col(source).alias("k"), words_in(F.col(text)).alias("size")), "mix-sizes")
+    src, mix = mix_plan(narrow, block_words)
+    taken = mix.groupBy("id", _key(F.col("k")).alias("key"), "size").agg(F.sum("words").alias("all_taken"))
+    return narrow, src, taken
+
+
 def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of df: doc_id, size, source_size, target (its source's), taken (words that the mix takes).
 
     A null text has size 0, and size 0 is never taken; a null source is one source, last in order. A source without
     words has target 0. Null ids stay null. Rows that repeat an id lie side by side in the stream and are taken each
-    for itself. No rows give none. No document is taken beyond twice its size, as no target goes beyond twice its
-    source's. The same input gives the same mix.
+    for itself; rows equal in id, source and size share evenly what they are taken together. No rows give none. No
+    document is taken beyond twice its size, as no target goes beyond twice its source's. The same input gives the
+    same mix.
     """
-    narrow, _ = stage(df.select(id_in(key).alias("id"), F.col(source).alias("k"), words_in(F.col(text)).alias("size")), "mix-sizes")
-    src, mix = mix_plan(narrow, block_words)
-    # equal rows (id, source, size) share what they are taken together evenly, the first ones a word more
-    same = ["id", "k", "size"]
-    taken = mix.groupBy(*same).agg(F.sum("words").alias("all_taken"))
-    copy = Window.partitionBy(*same).orderBy(F.lit(1))
-    rows = narrow.withColumns({"copy": F.row_number().over(copy) - 1, "copies": F.count("*").over(Window.partitionBy(*same))})
-    k = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
-    rows = rows.withColumn("key", k(F.col("k")))
-    out = rows.join(taken.select("id", k(F.col("k")).alias("key"), "size", "all_taken"), ["id", "key", "size"], "left").join(src.select(k(F.col("k")).alias("key"), "source_size", "target"), "key")
+    narrow, src, taken = _taken(df, key, text, source, block_words)
+    rows = narrow.withColumn("key", _key(F.col("k")))
+    same = Window.partitionBy("id", "key", "size")
+    rows = rows.withColumns({"copy": F.row_number().over(same.orderBy(F.lit(1))) - 1, "copies": F.count("*").over(same)})
+    out = rows.join(taken, ["id", "key", "size"], "left").join(src.select(_key(F.col("k")).alias("key"), "source_size", "target"), "key")
     share = F.expr("all_taken div copies + CAST(copy < all_taken % copies AS INT)")
     return out.select(id_out("id").alias("doc_id"), "size", "source_size", "target", F.coalesce(share, F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """df's rows as often as the mix takes them: taken words over size, rounded (none, one or two times). Documents
+    without words are never taken. Columns are df's."""
+    narrow, _, taken = _taken(df, key, text, source, block_words)
+    many = narrow.groupBy("id", _key(F.col("k")).alias("key"), "size").agg(F.count("*").alias("copies"))
+    times = taken.join(many, ["id", "key", "size"]).withColumn("times", F.floor(F.col("all_taken") / (F.col("copies") * F.col("size")) + 0.5).cast("int")).filter("times > 0")
+    times, _ = stage(times.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("times").alias("__times")), "mix-times")
+    rows = df.withColumns({"__id": id_in(key), "__key": _key(F.col(source)), "__size": words_in(F.col(text))})
+    rows = rows.join(maybe_broadcast(times, 64), ["__id", "__key", "__size"])
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*df.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, by weights 3, 1, 2 in turn, of 150% of all words."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_sharding, op02_jaccard_join, op03_token_ids, op04_decontamination, op05_warc, op06_substring_dedup, op07_exact_dedup, op09_mixing, op10_suffix_array
+from . import op01_sharding, op02_jaccard_join, op03_token_ids, op04_decontamination, op05_warc, op06_substring_dedup, op07_exact_dedup, op08_language_id, op09_mixing, op10_suffix_array
 
-MODULES = (op01_sharding, op02_jaccard_join, op03_token_ids, op04_decontamination, op05_warc, op06_substring_dedup, op07_exact_dedup, op09_mixing, op10_suffix_array)
+MODULES = (op01_sharding, op02_jaccard_join, op03_token_ids, op04_decontamination, op05_warc, op06_substring_dedup, op07_exact_dedup, op08_language_id, op09_mixing, op10_suffix_array)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
