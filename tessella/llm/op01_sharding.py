@@ -68,8 +68,8 @@ def splitters(narrow: DataFrame, ranges: int, tolerance: float, probes: int = 48
     A splitter is settled when the bytes below it are within tolerance (a part of a range's share) of its target, or
     when no key lies between its bounds; then the nearer bound is taken.
     """
-    total, n = narrow.agg(F.sum("size"), F.count("*")).first()
-    total, n = int(total or 0), int(n)
+    total, n, least, most = narrow.agg(F.sum("size"), F.count("*"), F.min("i"), F.max("i")).first()
+    total, n, least, most = int(total or 0), int(n), int(least or 0) + BIAS, int(most or 0) + BIAS
     goals = [total * j // ranges for j in range(1, ranges)]
     slack = tolerance * total / ranges
     low = [(0, 0, 0)] * len(goals)  # key, bytes below, rows below
@@ -86,11 +86,13 @@ def splitters(narrow: DataFrame, ranges: int, tolerance: float, probes: int = 48
             if j not in done:
                 a, b = low[j][0], high[j][0]
                 cut = {a + (b - a) * k // (probes + 1) for k in range(1, probes + 1)}
-                if (b >> 64) > (a >> 64):  # between texts first
-                    cut = {k >> 64 << 64 for k in cut} | {((a >> 64) + 1) << 64}
-                    if b & (2**64 - 1):
-                        cut.add(b >> 64 << 64)
-                keys |= {k for k in cut if a < k < b}
+                # between texts first, and within one text, by id, only if no key between texts is left
+                between = {k >> 64 << 64 for k in cut} | {((a >> 64) + 1) << 64, b >> 64 << 64}
+                if not (between := {k for k in between if a < k < b}):
+                    text = a >> 64 << 64
+                    x, y = max(a, text + least), min(b, text + most + 1)
+                    between = {x + (y - x) * k // (probes + 1) for k in range(probes + 2)}
+                keys |= {k for k in between if a < k < b}
         if not keys:
             for j in range(len(goals)):
                 done.setdefault(j, min(low[j], high[j], key=lambda x: abs(x[1] - goals[j])))
