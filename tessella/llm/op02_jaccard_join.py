@@ -7,8 +7,9 @@ fragments. This is done three times:
 1. Each fragment counts in how many different sets its n-grams occur. A set can be similar to another only if at
    least 80% of its n-grams occur in another set too; the sum over fragments tells. So documents that share no more
    than common passages with others end here, whatever those passages' frequency.
-2. For the sets that remain, the fragments count exactly, and the counts order each set's shared n-grams, rarest
-   first. Similar sets share one of their first n - ceil(0.8 n) + 1.
+2. For the sets that remain, the fragments count exactly, and tell of each n-gram which sizes the other sets have that
+   it occurs in. The counts order each set's n-grams, rarest first; similar sets share one of the first few of those
+   that sets of the other's size have (see heads).
 3. For candidate pairs, each fragment counts the partial overlap of the two pieces; their sum is the overlap.
 
 Equal sets are one node throughout. Pairs within a group of similar sets are not all made: first every set that has
@@ -32,6 +33,8 @@ from .words import grams, mix, word_hashes
 
 WORDS = 5
 PERCENT = 80
+#: Ratio of neighbouring bins of set sizes.
+BIN = 1.02
 #: Candidate pairs that go through the fragments together.
 PAIR_CHUNK = 16_384
 
@@ -170,10 +173,32 @@ def shared_counts(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return counted.groupBy("chunk").applyInPandas(total, "id long, n long, key long, m long")
 
 
+def size_bin(n: np.ndarray) -> np.ndarray:
+    """Sizes in bins, each BIN times as wide as the one before."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(BIN) + 1e-9).astype(np.int64)
+
+
+def bins_apart(percent: int) -> int:
+    """How many bins apart the sizes of similar sets can be."""
+    return int(np.ceil(np.log(100 / percent) / np.log(BIN))) + 1
+
+
+def overlap_needed(n: np.ndarray, bin_: np.ndarray, percent: int) -> np.ndarray:
+    """A bound below the overlap that sets of n with sets of a bin need: percent of the union, and of the set itself."""
+    other = np.power(BIN, bin_) - 1e-6
+    return np.ceil(np.maximum(percent * n / 100, percent / (100 + percent) * (n + other)) - 1e-6).astype(np.int64)
+
+
 def heads(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of sets (key, n, grams): gram, key, n for those n-grams by which similar sets must meet: of each set's n-grams,
-    rarest first, the first n - ceil(percent * n / 100) + 1, without those that no other set has."""
+    """Of sets (key, n, grams): gram, key, n, weight for those n-grams by which similar sets must meet.
+
+    For each bin of sizes that similar sets can have, a set's n-grams that another set of that bin has too, m of them,
+    come in order, the rarest first; if the overlap must be o, similar sets share one of the first m - o + 1. With less
+    than o the set has no partner there. gram is a hash of the n-gram and both bins; weight is larger for sets of
+    frequent n-grams, which stand in the middle of their group.
+    """
     fragments = Fragments(_bits(sets.sparkSession))
+    apart = bins_apart(percent)
 
     def send(batches):
         number = _chunk_ids()
@@ -182,45 +207,65 @@ def heads(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 part = b.slice(lo, 512)
                 pieces = [np.frombuffer(x, np.uint64) for x in part.column("grams").to_pylist()]
                 chunk = next(number)
+                n = int64(part.column("n"))
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
-                rows = [(chunk % fragments.count, chunk, ABOUT, int64(part.column("key")).tobytes(), int64(part.column("n")).tobytes(), b"", b"")]
-                rows += [(f, chunk, PIECES, owner.tobytes(), size.tobytes(), piece.tobytes(), b"") for f, owner, size, piece in fragments.cut(np.concatenate(pieces), cut)]
+                rows = [(chunk % fragments.count, chunk, ABOUT, int64(part.column("key")).tobytes(), n.tobytes(), b"", b"")]
+                rows += [(f, chunk, PIECES, owner.tobytes(), size.tobytes(), piece.tobytes(), n[owner].tobytes()) for f, owner, size, piece in fragments.cut(np.concatenate(pieces), cut)]
                 yield _batch(rows, _PIECE)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pdf[pdf["kind"] == ABOUT][["chunk", "kind", "x", "y", "z"]]]
-        pdf = pdf[pdf["kind"] == PIECES]
+        about = pdf[pdf["kind"] == ABOUT][["chunk", "kind", "x", "y"]].assign(z=b"", w=b"")
+        out, pdf = [about], pdf[pdf["kind"] == PIECES]
         if len(pdf):
             values = np.concatenate(_arrays(pdf["z"], np.uint64))
+            size = np.concatenate(_arrays(pdf["y"], np.int32))
+            owner = np.repeat(np.concatenate(_arrays(pdf["x"], np.int32)), size)
+            own = np.repeat(size_bin(np.concatenate(_arrays(pdf["w"], np.int64))), size) + apart
+            chunk = np.repeat(np.arange(len(pdf)), pdf["z"].map(len).to_numpy() // 8)
             _, which, often = np.unique(values, return_inverse=True, return_counts=True)
+            many = np.flatnonzero(often[which] > 1)
+            values, owner, own, chunk, which = values[many], owner[many], own[many], chunk[many], which[many]
             often = often[which]
-            owner = np.concatenate([np.repeat(x, y) for x, y in zip(_arrays(pdf["x"], np.int32), _arrays(pdf["y"], np.int32), strict=True)])
-            cuts = np.concatenate([[0], np.cumsum(pdf["z"].map(len).to_numpy() // 8)])
-            rows = []
-            for chunk, a, z in zip(pdf["chunk"], cuts[:-1], cuts[1:], strict=True):
-                many = often[a:z] > 1
-                if many.any():
-                    rows.append((chunk, PIECES, owner[a:z][many].tobytes(), often[a:z][many].astype(np.int64).tobytes(), values[a:z][many].tobytes()))
-            out.append(pd.DataFrame(rows, columns=["chunk", "kind", "x", "y", "z"]))
+            wide = int(own.max(initial=0)) + apart + 1
+            pairs, count_ = np.unique(which * wide + own, return_counts=True)
+            mask = np.zeros(len(values), np.int64)
+            for d in range(-apart, apart + 1) if len(values) else ():
+                ask = which * wide + own + d
+                at = np.minimum(np.searchsorted(pairs, ask), len(pairs) - 1)
+                mask |= ((pairs[at] == ask) & (count_[at] > (d == 0))).astype(np.int64) << (d + apart)
+            some = np.flatnonzero(mask)
+            values, owner, often, mask, chunk = values[some], owner[some], often[some], mask[some], chunk[some]
+            cuts = np.searchsorted(chunk, np.arange(len(pdf) + 1))
+            rows = [(c, PIECES, owner[a:z].tobytes(), np.minimum(often[a:z], 2**31 - 1).astype(np.int32).tobytes(), values[a:z].tobytes(), mask[a:z].tobytes()) for c, a, z in zip(pdf["chunk"], cuts[:-1], cuts[1:], strict=True) if a < z]
+            out.append(pd.DataFrame(rows, columns=["chunk", "kind", "x", "y", "z", "w"]))
         return pd.concat(out)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         about = pdf[pdf["kind"] == ABOUT].iloc[0]
         key, n = np.frombuffer(about["x"], np.int64), np.frombuffer(about["y"], np.int64)
         pdf = pdf[pdf["kind"] == PIECES]
-        if not len(pdf):
-            return pd.DataFrame({"gram": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        owner, often, values = (np.concatenate(_arrays(pdf[c], t)) for c, t in (("x", np.int32), ("y", np.int64), ("z", np.uint64)))
-        order = np.lexsort((values, often, owner))
-        owner, values = owner[order], values[order]
-        m = np.bincount(owner, minlength=len(key))
-        head = n - -(-percent * n // 100) + 1 - (n - m)
-        rank = np.arange(len(owner)) - (np.cumsum(m) - m)[owner]
-        keep = rank < head[owner]
-        return pd.DataFrame({"gram": values[keep].view(np.int64), "key": key[owner[keep]], "n": n[owner[keep]]})
-
-    counted = sets.select("key", "n", "grams").mapInArrow(send, _PIECE_SQL).groupBy("fragment").applyInPandas(count, "chunk long, kind int, x binary, y binary, z binary")
-    return counted.groupBy("chunk").applyInPandas(pick, "gram long, key long, n long")
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        weight = np.zeros(len(key), np.int64)
+        if len(pdf):
+            owner, often, values, mask = (np.concatenate(_arrays(pdf[c], t)) for c, t in (("x", np.int32), ("y", np.int32), ("z", np.uint64), ("w", np.int64)))
+            order = np.lexsort((values, often, owner))
+            owner, values, mask, often = owner[order], values[order], mask[order], often[order]
+            weight = (np.bincount(owner, often, len(key)) / np.maximum(n, 1) * 1000).astype(np.int64)
+            own = size_bin(n)
+            for d in range(-apart, apart + 1):
+                here = np.flatnonzero(mask >> (d + apart) & 1)
+                m = np.bincount(owner[here], minlength=len(key))
+                head = m - overlap_needed(n, own + d, percent) + 1
+                rank = np.arange(len(here)) - (np.cumsum(m) - m)[owner[here]]
+                here = here[rank < head[owner[here]]]
+                o = owner[here]
+                both = np.minimum(own[o], own[o] + d) * 4096 + abs(d)
+                found.append((o, mix(values[here] + both.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)))
+        o, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"gram": gram, "key": key[o], "n": n[o], "weight": weight[o]})
+
+    counted = sets.select("key", "n", "grams").mapInArrow(send, _PIECE_SQL).groupBy("fragment").applyInPandas(count, "chunk long, kind int, x binary, y binary, z binary, w binary")
+    return counted.groupBy("chunk").applyInPandas(pick, "gram long, key long, n long, weight long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -301,8 +346,9 @@ def _pairs(one, one_n, two, two_n, percent: int):
 
 
 def star_pairs(head: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each set with the first and the last (by key) of those that share an n-gram with it in their heads."""
-    ends = head.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("lo"), F.max(F.struct("key", "n")).alias("hi")).filter("lo.key < hi.key")
+    """Each set with the lightest and the heaviest of those that share an n-gram with it in their heads."""
+    place = F.struct("weight", "key", "n")
+    ends = head.groupBy("gram").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo.key != hi.key")
     near = head.join(ends, "gram").select("key", "n", F.explode(F.array("lo", "hi")).alias("e"))
     ok, columns = _pairs(F.col("key"), F.col("n"), F.col("e.key"), F.col("e.n"), percent)
     return near.filter(ok).select(*columns).distinct()
