@@ -13,13 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_out, stage
-from .windows import Words, candidate_runs, documents, merged, solve, with_spans
+from .common import id_out
+from .windows import Group, Runs, Words, documents, merged, solve, with_spans
 
 WINDOW = 20
 GRAM = 8
@@ -87,12 +86,12 @@ class SuffixAutomaton:
         return out
 
 
-def earlier_spans(group: list[tuple[int, int, int, int, bytes]], size: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """Spans of each run's first occurrence that an earlier run has as well; rows are (id, pos, n, occurs, data) in
-    order of id and pos."""
-    automaton = SuffixAutomaton()
-    for k, (doc, pos, _, _, data) in enumerate(group):
-        sequence = np.frombuffer(data, np.uint64).tolist()
+def earlier_spans(group: Group, size: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+    """Spans of each run's first occurrence that an earlier run has as well; rows are (id, pos, n, data) in order
+    of id and pos."""
+    automaton, numbers = SuffixAutomaton(), {}
+    for k, (doc, pos, _, data) in enumerate(group):
+        sequence = [numbers.setdefault(w, len(numbers)) for w in data.split()]
         if k:
             lo = hi = -1
             for end, have in enumerate(automaton.statistics(sequence), 1):
@@ -109,15 +108,11 @@ def earlier_spans(group: list[tuple[int, int, int, int, bytes]], size: int = WIN
 
 def repeated_word_spans(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Of docs (id, text): id, lo, hi, spans of words covered by windows that also start earlier."""
-    form = Words(size, gram)
-    found, _ = stage(candidate_runs(docs, form), "runs")
-    first = F.min(F.struct("id", "pos")).alias("first")
-    distinct = found.groupBy("anchor", "content").agg(first, F.count("*").alias("occurs"), F.first("n").alias("n"), F.first("data").alias("data"))
-    distinct, _ = stage(distinct.select("anchor", "content", "first.id", "first.pos", "n", "occurs", "data"), "distinct-runs")
-    part = solve(distinct, form, lambda groups: (x for g in groups for x in earlier_spans(g, size)))
+    found = Runs(docs, Words(size, gram))
+    part = solve(found, lambda groups: (x for g in groups for x in earlier_spans(g, size)))
     # any but the first occurrence of a run is an earlier one's repetition as a whole
-    many = distinct.filter("occurs > 1").select("anchor", "content", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
-    again = found.select("anchor", "content", "id", "pos", "n").join(many, ["anchor", "content"])
+    many = found.distinct.filter("occurs > 1").select("anchor", "content", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
+    again = found.found.select("anchor", "content", "id", "pos", "n").join(many, ["anchor", "content"])
     again = again.filter("id != first_id OR pos != first_pos").select("id", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1 + size).alias("hi"))
     return part.unionByName(again)
 

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_out, stage
-from .windows import Bytes, Group, candidate_runs, documents, merged, solve, with_spans
+from .common import id_out
+from .windows import Bytes, Group, Runs, documents, merged, solve, with_spans
 
 LENGTH = 400
 GRAM = 64
@@ -90,16 +90,12 @@ def shallow_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, dept
     return live, group
 
 
-def deep_shallow(data: np.ndarray, starts: np.ndarray, group: np.ndarray, size: int = LENGTH, useful: np.ndarray | None = None) -> Iterator[list[int]]:
-    """Numbers of suffixes with equal first size bytes, two or more at a time, in order of group and string. Tied
-    groups without a useful suffix are left out."""
+def deep_shallow(data: np.ndarray, starts: np.ndarray, group: np.ndarray, size: int = LENGTH) -> Iterator[list[int]]:
+    """Numbers of suffixes with equal first size bytes, two or more at a time, in order of group and string."""
     live, tied = shallow_groups(data, starts, group, min(SHALLOW, size // 8 * 8))
     cut = np.flatnonzero(np.r_[True, tied[1:] != tied[:-1], True]) if len(tied) else np.zeros(1, np.int64)
     raw = data.tobytes()
-    wanted = np.logical_or.reduceat(useful[live], cut[:-1]) if useful is not None and len(live) else None
-    for k, (a, z) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        if wanted is not None and not wanted[k]:
-            continue
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         trie = BlindTrie(size)
         for i in live[a:z].tolist():
             at = int(starts[i])
@@ -108,23 +104,19 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, group: np.ndarray, size:
 
 
 def repeated_spans(groups: list[Group], size: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """Spans of runs that occur once as a whole but have windows which another run of their anchor has too."""
-    groups = [g for g in groups if any(x[3] == 1 for x in g)]
+    """Spans of the windows of each run that another run of its anchor has too; rows are (id, pos, n, data)."""
     rows = [x for g in groups for x in g]
-    if not rows:
-        return
-    data = np.frombuffer(b"".join(x[4] for x in rows), np.uint8)
-    length = np.array([len(x[4]) for x in rows])
+    data = np.frombuffer(b"".join(x[3] for x in rows), np.uint8)
+    length = np.array([len(x[3]) for x in rows])
     count = np.array([x[2] for x in rows])
-    single = np.array([x[3] == 1 for x in rows])
     owner = np.repeat(np.arange(len(rows)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     starts = (np.cumsum(length) - length)[owner] + place
     group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])[owner]
     hit = np.zeros(len(owner), bool)
-    for equal in deep_shallow(data, starts, group, size, single[owner]):
+    for equal in deep_shallow(data, starts, group, size):
         hit[equal] = True
-    found = np.flatnonzero(hit & single[owner])
+    found = np.flatnonzero(hit)
     if len(found):
         new = np.ones(len(found), bool)
         new[1:] = (found[1:] != found[:-1] + 1) | (owner[found[1:]] != owner[found[:-1]])
@@ -136,14 +128,10 @@ def repeated_spans(groups: list[Group], size: int = LENGTH) -> Iterator[tuple[in
 
 def repeated_byte_spans(docs: DataFrame, size: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Of docs (id, text): id, lo, hi, spans of UTF-8 bytes covered by strings of size bytes that occur elsewhere too."""
-    form = Bytes(size, gram)
-    found, _ = stage(candidate_runs(docs, form), "runs")
-    first = F.min(F.struct("id", "pos")).alias("first")
-    distinct = found.groupBy("anchor", "content").agg(first, F.count("*").alias("occurs"), F.first("n").alias("n"), F.first("data").alias("data"))
-    distinct, _ = stage(distinct.select("anchor", "content", "first.id", "first.pos", "n", "occurs", "data"), "distinct-runs")
-    part = solve(distinct, form, lambda groups: repeated_spans(groups, size))
-    many = distinct.filter("occurs > 1").select("anchor", "content")
-    whole = found.select("anchor", "content", "id", "pos", "n").join(many, ["anchor", "content"])
+    found = Runs(docs, Bytes(size, gram))
+    part = solve(found, lambda groups: repeated_spans(groups, size))
+    many = found.distinct.filter("occurs > 1").select("anchor", "content")
+    whole = found.found.select("anchor", "content", "id", "pos", "n").join(many, ["anchor", "content"])
     return part.unionByName(whole.select("id", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1 + size).alias("hi")))
 
 

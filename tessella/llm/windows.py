@@ -5,8 +5,9 @@ hash, the leftmost of equal ones), its anchor; equal windows have equal anchors
 with one anchor form a run, which is sent as one string to where all runs with that anchor meet. So equal windows meet
 once, without a row for each of them, and a run whose anchor occurs only once in the corpus isn't sent at all.
 
-Runs of equal content collapse before they are sent: a passage that a third of all documents share comes to its place
-once a task.
+Runs are named by hashes first, and equal contents collapse before they meet: a passage that a third of all documents
+share comes to its place once a task. Only where several contents share an anchor are their symbols needed, and these
+are sent at their first occurrence alone.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, chunks, id_in, int64, maybe_broadcast, stage, tuned
-from .words import _INVERSE, _power, grams, inside, mix, prefix, run, word_hashes
+from .common import binaries, chunks, drop, id_in, int64, maybe_broadcast, stage, tuned
+from .words import _INVERSE, _power, bounds, grams, inside, mix, prefix, run, word_hashes
 
 PLACE_BITS = 26
 #: Bits of the map of repeated anchors that goes to all tasks, at most: 32 MB. Anchors that share a bit are sent in
@@ -34,7 +35,7 @@ class Words:
     """Texts as hashes of their words."""
 
     def __init__(self, size: int, gram: int):
-        self.size, self.gram, self.kind = size, gram, np.uint64
+        self.size, self.gram = size, gram
 
     def symbols(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return word_hashes(raw, off)
@@ -48,12 +49,30 @@ class Words:
         np.cumsum(symbols * _power(0x9E3779B97F4A7C15, len(symbols)), out=sums[1:])
         return mix((sums[end] - sums[start]) * _power(_INVERSE, len(sums))[start])
 
+    def cut(self, raw: np.ndarray, off: np.ndarray, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The words of each run, joined by one space."""
+        first, last, _ = bounds(raw, off)
+        count = end - start
+        word = np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
+        size = last[word] - first[word] + 1
+        ends = np.cumsum(size)
+        index = np.arange(int(ends[-1])) + np.repeat(first[word] - (ends - size), size)
+        out = raw[np.minimum(index, len(raw) - 1)]
+        out[ends - 1] = 0x20
+        cuts = np.concatenate([[0], ends[np.cumsum(count) - 1]])
+        return binaries(out, cuts)
+
+    def windows(self, data: bytes, n: int) -> Iterator[bytes]:
+        words = data.split()
+        for j in range(n):
+            yield b" ".join(words[j : j + self.size])
+
 
 class Bytes:
     """Texts as UTF-8 bytes."""
 
     def __init__(self, size: int, gram: int):
-        self.size, self.gram, self.kind = size, gram, np.uint8
+        self.size, self.gram = size, gram
 
     def symbols(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return raw, off
@@ -69,6 +88,16 @@ class Bytes:
     def content(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return run(prefix(symbols), start, end)
 
+    def cut(self, raw: np.ndarray, off: np.ndarray, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The bytes of each run."""
+        size = end - start
+        index = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+        return binaries(raw[index], np.concatenate([[0], np.cumsum(size)]))
+
+    def windows(self, data: bytes, n: int) -> Iterator[bytes]:
+        for j in range(n):
+            yield data[j : j + self.size]
+
 
 def sliding_min(x: np.ndarray, m: int) -> np.ndarray:
     """Least of each m consecutive values, by doubling."""
@@ -100,18 +129,10 @@ def runs(form, symbols: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.
     return ok[first], np.diff(np.append(first, len(ok))), h[place[first]]
 
 
-def repeated_map(docs: DataFrame, form) -> tuple[Broadcast, int]:
-    """A bit map, by the upper bits of their hash, of the anchors that occur more than once in all docs (id, text)."""
-    spark = docs.sparkSession
-
-    def anchors(batches):
-        for _, raw, off in chunks(batches):
-            values, counts = np.unique(runs(form, *form.symbols(raw, off))[2], return_counts=True)
-            yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], names=["anchor", "n"])
-
-    found = docs.select("text").mapInArrow(anchors, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    found, _ = stage(found, "anchors")
-    n = found.count()
+def bit_map(prints: DataFrame) -> tuple[Broadcast, int]:
+    """A bit map, by the upper bits, of a written table of well-mixed 64-bit numbers (its only column)."""
+    spark = prints.sparkSession
+    n = prints.count()
     bits = min(MAP_BITS, max(16, int(np.ceil(np.log2(max(1, n) * 32)))))
     piece = 13
 
@@ -119,60 +140,118 @@ def repeated_map(docs: DataFrame, form) -> tuple[Broadcast, int]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            for p in np.unique(at >> np.uint64(piece)).tolist():
-                own = at[at >> np.uint64(piece) == p] & np.uint64((1 << piece) - 1)
-                bit = held.setdefault(p, np.zeros(1 << piece, bool))
-                bit[own.astype(np.int64)] = True
+            at.sort()
+            part = (at >> np.uint64(piece)).astype(np.int64)
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+            for a, z in zip(cut[:-1], cut[1:], strict=True):
+                bit = held.setdefault(int(part[a]), np.zeros(1 << piece, bool))
+                bit[(at[a:z] & np.uint64((1 << piece) - 1)).astype(np.int64)] = True
         if held:
             yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["piece", "bits"])
 
     full = np.zeros(1 << (bits - 3), np.uint8)
-    spread = found.repartitionByRange(max(1, min(64, n // 50_000)), "anchor") if n else found
+    name = prints.columns[0]
+    spread = prints.repartitionByRange(max(1, min(64, n // 50_000)), name) if n else prints
     for p, x in spread.mapInArrow(pieces, "piece int, bits binary").toLocalIterator():
         full[p << (piece - 3) : (p + 1) << (piece - 3)] |= np.frombuffer(x, np.uint8)
     return spark.sparkContext.broadcast(full), bits
 
 
-def candidate_runs(docs: DataFrame, form) -> DataFrame:
-    """Runs whose anchor occurs more than once: anchor, content (hash), id, pos, n (windows), data (the symbols)."""
-    known, bits = repeated_map(docs, form)
-
-    def find(batches):
-        marks = known.value
-        for batch, raw, off in chunks(batches):
-            symbols, before = form.symbols(raw, off)
-            start, n, anchor = runs(form, symbols, before)
-            at = anchor >> np.uint64(64 - bits)
-            keep = (marks[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            start, n, anchor = start[keep], n[keep], anchor[keep]
-            if not len(start):
-                continue
-            end = start + n - 1 + form.size
-            doc = np.searchsorted(before, start, "right") - 1
-            length = end - start
-            index = np.arange(int(length.sum())) + np.repeat(start - (np.cumsum(length) - length), length)
-            data = binaries(symbols[index], np.concatenate([[0], np.cumsum(length)]))
-            content = form.content(symbols, start, end)
-            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(int64(batch.column("id"))[doc]), pa.array((start - before[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), data], names=["anchor", "content", "id", "pos", "n", "data"])
-
-    return docs.mapInArrow(find, "anchor long, content long, id long, pos int, n int, data binary")
-
-
-Group = list[tuple[int, int, int, int, bytes]]
+def marked(marks: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    at = values >> np.uint64(64 - bits)
+    return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def _named(form, batch: pa.RecordBatch, symbols, before, known) -> tuple[np.ndarray, ...]:
+    """Runs with a marked anchor: start, n, end, anchor, content, id, pos."""
+    start, n, anchor = runs(form, symbols, before)
+    keep = marked(*known, anchor)
+    start, n, anchor = start[keep], n[keep], anchor[keep]
+    end = start + n - 1 + form.size
+    doc = np.searchsorted(before, start, "right") - 1
+    return start, n, end, anchor, form.content(symbols, start, end), int64(batch.column("id"))[doc], start - before[doc]
+
+
+def _occurrence(content: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return mix(content + mix(ids.view(np.uint64) + pos.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+class Runs:
+    """All runs whose anchor occurs more than once, by name only: found (anchor, content, id, pos, n), and distinct
+    (anchor, content, id, pos, n, occurs), where equal contents count as one, at their first occurrence."""
+
+    def __init__(self, docs: DataFrame, form):
+        self.docs, self.form = docs, form
+
+        def anchors(batches):
+            for _, raw, off in chunks(batches):
+                values, counts = np.unique(runs(form, *form.symbols(raw, off))[2], return_counts=True)
+                yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int32))], names=["anchor", "n"])
+
+        many = docs.select("text").mapInArrow(anchors, "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+        many, path = stage(many, "anchors")
+        self.known, self.bits = bit_map(many)
+        drop(docs.sparkSession, path)
+        known, bits = self.known, self.bits
+
+        def find(batches):
+            for batch, raw, off in chunks(batches):
+                symbols, before = form.symbols(raw, off)
+                _, n, _, anchor, content, ids, pos = _named(form, batch, symbols, before, (known.value, bits))
+                if len(n):
+                    yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "content", "id", "pos", "n"])
+
+        self.found, _ = stage(docs.mapInArrow(find, "anchor long, content long, id long, pos int, n int"), "runs")
+        first = F.min(F.struct("id", "pos", "n")).alias("first")
+        distinct = self.found.groupBy("anchor", "content").agg(first, F.count("*").alias("occurs"))
+        self.distinct, _ = stage(distinct.select("anchor", "content", "first.id", "first.pos", "first.n", "occurs"), "distinct-runs")
+
+    def rivals(self) -> DataFrame:
+        """Distinct runs with their symbols (anchor, id, pos, n, data), of those anchors that have several contents.
+
+        Their first occurrences are marked by a bit map and cut out of the texts in one more reading; a run that the
+        map lets through by chance is another occurrence of some run, and does no harm beside it.
+        """
+        docs, form, known, bits = self.docs, self.form, self.known, self.bits
+        several = self.distinct.groupBy("anchor").agg(F.count("*").alias("contents")).filter("contents > 1").select("anchor")
+        several, path = stage(several, "anchors")
+        wanted = self.distinct.join(maybe_broadcast(several, 16), "anchor", "left_semi").select("content", "id", "pos")
+
+        def names(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array(_occurrence(b.column("content").to_numpy().view(np.uint64), b.column("id").to_numpy(), b.column("pos").to_numpy()).view(np.int64))], names=["name"])
+
+        wanted, wanted_path = stage(wanted.mapInArrow(names, "name long"), "run-names")
+        marks, marks_bits = bit_map(wanted)
+        drop(docs.sparkSession, path, wanted_path)
+
+        def cut(batches):
+            for batch, raw, off in chunks(batches):
+                symbols, before = form.symbols(raw, off)
+                start, n, end, anchor, content, ids, pos = _named(form, batch, symbols, before, (known.value, bits))
+                keep = np.flatnonzero(marked(marks.value, marks_bits, _occurrence(content, ids, pos)))
+                if len(keep):
+                    start, end = start[keep], end[keep]
+                    yield pa.record_batch([pa.array(anchor[keep].view(np.int64)), pa.array(ids[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), form.cut(raw, off, symbols, start, end)], names=["anchor", "id", "pos", "n", "data"])
+
+        return docs.mapInArrow(cut, "anchor long, id long, pos int, n int, data binary")
+
+
+Group = list[tuple[int, int, int, bytes]]
 Solver = Callable[[list[Group]], Iterator[tuple[int, int, int]]]
 #: Bytes of runs that a solver gets at once, about.
 SOLVED_BYTES = 1 << 20
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (id, pos, n, occurs, data) of each anchor, where more than one content has it; rows come sorted by anchor."""
+    """Rows (id, pos, n, data) of each anchor that has more than one; rows come sorted by anchor."""
     held: list[tuple] = []
     last = None
     for b in batches:
         key = b.column("anchor").to_numpy()
         salt = b.column("salt").to_numpy()
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]), True])
-        rows = [b.column(c) for c in ("id", "pos", "n", "occurs", "data")]
+        rows = [b.column(c) for c in ("id", "pos", "n", "data")]
         for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             name = (key[a], salt[a])
             if name != last:
@@ -185,31 +264,30 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def solve(distinct: DataFrame, form, solver: Solver) -> DataFrame:
+def solve(found: Runs, solver: Solver) -> DataFrame:
     """Spans (id, lo, hi) in symbols that a solver finds in each group of distinct runs with one anchor.
 
     A group of very many runs (a passage's border in very many documents) is dealt anew by single windows: equal
     windows still meet, and no task holds the whole group.
     """
-    size, width = form.size, np.dtype(form.kind).itemsize
-    hot = distinct.groupBy("anchor").count().filter(F.col("count") > GROUP_RUNS).select("anchor", F.lit(True).alias("hot"))
+    form = found.form
+    hot = found.distinct.groupBy("anchor").count().filter(F.col("count") > GROUP_RUNS).select("anchor", F.lit(True).alias("hot"))
     hot, _ = stage(hot, "hot-anchors")
-    rows = distinct.withColumn("salt", F.lit(0).cast("long"))
+    rows = found.rivals().withColumn("salt", F.lit(0).cast("long"))
     if hot_n := hot.count():
-        marked = rows.join(maybe_broadcast(hot, 16, hot_n), "anchor", "left")
+        told = rows.join(maybe_broadcast(hot, 16, hot_n), "anchor", "left")
 
         def windows(batches):
             for b in batches:
                 for row in b.to_pylist():
                     # each window by itself: its bytes name where it meets its equals
-                    for j in range(row["n"]):
-                        data = row["data"][j * width : (j + size) * width]
+                    for j, data in enumerate(form.windows(row["data"], row["n"])):
                         yield pa.RecordBatch.from_pylist([row | {"pos": row["pos"] + j, "n": 1, "data": data, "salt": hash_of(data)}], schema=b.schema)
 
-        columns = ["anchor", "content", "id", "pos", "n", "occurs", "data", "salt"]
-        one = marked.filter("hot").select(*columns)
+        columns = ["anchor", "id", "pos", "n", "data", "salt"]
+        one = told.filter("hot").select(*columns)
         one = one.mapInArrow(batched(windows), one.schema)
-        rows = marked.filter("hot IS NULL").select(*columns).unionByName(one)
+        rows = told.filter("hot IS NULL").select(*columns).unionByName(one)
 
     def work(batches):
         held: list[Group] = []
@@ -224,7 +302,7 @@ def solve(distinct: DataFrame, form, solver: Solver) -> DataFrame:
         if held and (out := list(solver(held))):
             yield spans_batch(out)
 
-    ready = rows.select("anchor", "salt", "id", "pos", "n", "occurs", "data").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "pos")
+    ready = rows.select("anchor", "salt", "id", "pos", "n", "data").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id", "pos")
     return ready.mapInArrow(work, "id long, lo int, hi int")
 
 
