@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 #: A table is broadcast only if its counted rows times their width stay below this; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: Bytes that one Arrow batch sends to Python at most, so that very long texts don't meet in one batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Stands for a null id inside the operators; results carry null again.
 NULL_ID = -(2**63)
 INT_MIN = NULL_ID

@@ -32,7 +32,7 @@ LEXICON_TIMES = 3
 BITS = 17
 STEPS, SEQUENCES, RATE, DECAY = 160, 96, 0.25, 1e-6
 #: Bytes of text whose sequences are labelled side by side.
-SIDE_BY_SIDE = 6 << 20
+SIDE_BY_SIDE = 3 << 20
 _LETTER = np.zeros(256, np.int64)
 _LETTER[65:91] = _LETTER[97:123] = 1
 _LETTER[128:] = 1
@@ -101,9 +101,8 @@ class Field:
     def scores(self, words: Words) -> np.ndarray:
         """Each distinct word's score for each language; words without letters score 0."""
         k = len(self.languages)
-        sums = np.zeros((len(words.features) + 1, k), np.float64)
-        np.cumsum(self.weights[words.features], axis=0, out=sums[1:])
-        out = sums[words.cuts[1:]] - sums[words.cuts[:-1]]
+        # every word has a first and a last byte, so no word is without features
+        out = np.add.reduceat(self.weights[words.features], words.cuts[:-1], axis=0).astype(np.float64) if len(words.hashes) else np.zeros((0, k))
         out += self.lexicon_weights[self.in_lexicon(words.hashes)]
         out[~words.letters] = 0
         return out

@@ -1,0 +1,415 @@
+"""Each operator against a brute-force version, on a corpus with nulls, blanks, ties, repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from data import SCHEMA, frame, rows
+
+from tessella.llm import op01_sharding, op02_jaccard_join, op03_token_ids, op04_decontamination, op05_warc, op06_substring_dedup, op07_exact_dedup, op08_language_id, op09_mixing, op10_suffix_array
+
+NULL = -(2**63)
+
+
+def ordered(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def ids():
+    return [(NULL if r[0] is None else r[0], r[1]) for r in rows()]
+
+
+def out_id(i):
+    return None if i == NULL else i
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_sharding(spark, docs, empty):
+    got = op01_sharding.histogram_shards(docs, 3).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows())
+    size = defaultdict(int)
+    for r in got:
+        size[r["shard"]] += len((r["text"] or "").encode()) + 1
+    largest = max(len((r[1] or "").encode()) for r in rows())
+    assert set(size) == {0, 1, 2} and max(size.values()) - min(size.values()) <= 2 * largest
+    for s in size:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert set(got[0].asDict()) == set(docs.columns)  # shard and slot replace columns of these names
+    assert op01_sharding.histogram_shards(empty, 3).count() == 0
+
+
+def test_sharding_is_near_equal_with_a_hot_group(spark):
+    some = [(i, "same text" if i % 3 == 0 else f"text {i * 7919 % 1000:04d}", None, None, None, 0, "", 0, "", 0, "", 0, "") for i in range(3000)]
+    got = op01_sharding.histogram_shards(frame(spark, some), 8).groupBy("shard").agg({"slot": "count"}).collect()
+    counts = [r[1] for r in got]
+    assert len(counts) == 8 and max(counts) < 1.02 * 375 and min(counts) > 0.98 * 375
+
+
+def jaccard_reference():
+    sets = []
+    for i, t in ids():
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append((i, frozenset(" ".join(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([" ".join(w)] if w else [])))
+    least = [i for i, _ in sets]
+    changed = True
+    while changed:
+        changed = False
+        for a, (_, x) in enumerate(sets):
+            for b, (_, y) in enumerate(sets):
+                if x and y and least[a] != least[b] and 100 * len(x & y) >= 80 * len(x | y):
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+    return sorted(((out_id(i), len(s), out_id(c)) for (i, s), c in zip(sets, least, strict=True)), key=repr)
+
+
+def test_jaccard_join(docs, empty):
+    assert ordered(op02_jaccard_join.jaccard_components(docs)) == jaccard_reference()
+    assert op02_jaccard_join.jaccard_components(empty).collect() == []
+
+
+def test_keep_one(docs):
+    want = {c for _, n, c in jaccard_reference() if n}
+    got = op02_jaccard_join.keep_one(docs)
+    assert {r["doc_id"] for r in got.collect() if words(r["text"])} == want and got.columns == docs.columns
+
+
+def test_cross_component_pairs_find_what_stars_miss(spark):
+    """Chains of sets of which neighbours alone are similar."""
+    rng = np.random.default_rng(4)
+    some = []
+    for g in range(6):
+        w = [f"w{x}" for x in rng.integers(0, 9999, 400)]
+        for k in range(9):
+            some.append((g * 100 + k, " ".join(w[k * 20 : k * 20 + 200]), None, None, None, 0, "", 0, "", 0, "", 0, ""))
+    got = {r["doc_id"]: r["component_id"] for r in op02_jaccard_join.jaccard_components(frame(spark, some)).collect()}
+    assert got == {g * 100 + k: g * 100 for g in range(6) for k in range(9)}
+
+
+def test_token_ids(docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = op03_token_ids.write_token_ids(docs, path)
+    got = op03_token_ids.read_token_ids(manifest).orderBy("start").collect()
+    t = Tokenizer.from_file(path)
+    want = Counter((out_id(i), tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x in ids())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+    at, last = 0, NULL
+    for r in got:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"]) and (r["doc_id"] is None or r["doc_id"] >= last)
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        at, last = at + r["n_tokens"], last if r["doc_id"] is None else r["doc_id"]
+    assert op03_token_ids.tokens_of(manifest, [9])[9] == next(list(r["ids"]) for r in got if r["doc_id"] == 9)
+    assert op03_token_ids.read_token_ids(op03_token_ids.write_token_ids(empty, path)).collect() == []
+
+
+def test_encoder_matches_the_library_on_random_texts():
+    import random
+
+    import public_tokenizers
+
+    rng = random.Random(2)
+    letters = "abstmdrevl'' \n\t  .,1 2é  ñß-\x1c\u0085我😀"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    e = op03_token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    got, n = e.encode(*op03_token_ids.utf8(pa.array(texts)))
+    cut = np.concatenate([[0], np.cumsum(n)])
+    assert [got[a:z].tolist() for a, z in zip(cut[:-1], cut[1:], strict=True)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def edits(p, t):
+    row = [0] * (len(t) + 1)
+    for c in p:
+        new = [row[0] + 1]
+        for j, d in enumerate(t):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark, docs, empty):
+    own = [t for _, t in ids() if t and 80 < len(t) < 900]
+    asked = [(i, t[10 : 10 + 70 + i * 9]) for i, t in enumerate(own[:8])]
+    asked = [(i, t[:20] + "QQ" * (i % 3) + t[20 + i % 2 :]) for i, t in asked] + [(90, None), (91, "  "), (92, "one"), (None, own[9][5:60])]
+    items = spark.createDataFrame(asked, "item_id long, text string")
+    fold = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", (t or "").encode().lower().decode()).strip(" ").encode()
+    want = Counter()
+    for d, t in ids():
+        for i, x in asked:
+            p, y = fold(x), fold(t)
+            if len(p) < 8:
+                e = 0 if p and p == y else None
+            else:
+                e = edits(p, y)
+                e = e if e <= op04_decontamination.budget(len(p)) else None
+            if e is not None:
+                want[out_id(d), i, e] += 1
+    got = op04_decontamination.contaminated(docs, items)
+    assert Counter((r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()) == want and sum(want.values()) > 10
+    for r in got.filter("edits = 0").collect():
+        part = next(t for d, t in ids() if out_id(d) == r["doc_id"]).encode()[r["start_byte"] : r["end_byte"]]
+        assert fold(part.decode()) == fold(dict(asked)[r["item_id"]])
+    gone = {d for d, _, _ in want}
+    kept = op04_decontamination.without_contaminated(docs, items)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(out_id(d) for d, _ in ids() if out_id(d) not in gone)
+    assert op04_decontamination.contaminated(empty, items).collect() == [] == op04_decontamination.contaminated(docs, items.limit(0)).collect()
+
+
+def test_warc(spark):
+    pages = [(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (None, "u", None), (4, "u", ""), (5, "u", "é" * 40000), (3, "u", "<p>x</p>")]
+    df = spark.createDataFrame([(*p, "q") for p in pages], "page_id long, url string, html string, payload string").repartition(3)
+    manifest = op05_warc.write_archives(df)
+    got = op05_warc.read_archives(manifest, payloads=True).collect()
+    first = {}
+    for i, _, h in sorted(pages, key=lambda p: NULL if p[0] is None else p[0]):
+        first.setdefault(h or "", i)
+    assert len(got) == len(pages)
+    for r in got:
+        h = next(h for i, _, h in pages if i == r["page_id"]) or ""
+        assert r["payload_bytes"] == len(h.encode()) and r["payload_digest"] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        if first[h] == r["page_id"]:
+            assert r["record_type"] == "response" and bytes(r["payload"]) == h.encode() and r["refers_to"] is None
+        else:
+            assert r["record_type"] == "revisit" and r["refers_to"] == first[h] and r["payload"] is None
+    assert op05_warc.read_archives(op05_warc.write_archives(df.limit(0))).collect() == []
+
+
+def test_warc_reader_frames_and_verifies():
+    import gzip
+    import io
+
+    records = b"".join(op05_warc.page_record(i, "u", b"z" * i * 999, op05_warc.base32_sha1(b"z" * i * 999)) for i in range(5))
+    assert [len(r.payload) for r in op05_warc.read_records(io.BytesIO(records), chunk=7)] == [i * 999 for i in range(5)]
+    one = gzip.decompress(op05_warc.page_record(1, "u", b"abc", op05_warc.base32_sha1(b"abc")))
+    for bad in (one.replace(b"abc", b"abd"), one[:-1], one.replace(b"Content-Length: 3", b"Content-Length: 4")):
+        with pytest.raises(ValueError):
+            list(op05_warc.read_records(io.BytesIO(gzip.compress(bad))))
+    with pytest.raises(ValueError):
+        list(op05_warc.read_records(io.BytesIO(records[:-5])))
+
+
+def test_substring_dedup(docs, empty):
+    seen, gone = {}, defaultdict(set)
+    whole = sorted(set(ids()), key=lambda x: x[0])
+    for i, t in whole:
+        w = words(t)
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            if x in seen:
+                gone[i].update(range(k, k + 20))
+            seen.setdefault(x, (i, k))
+    want = []
+    for i, t in ids():
+        w = words(t)
+        want.append((out_id(i), len(w), len(gone[i]), " ".join(x for k, x in enumerate(w) if k not in gone[i])))
+    assert ordered(op06_substring_dedup.substring_dedup(docs)) == sorted(want, key=repr)
+    assert sum(x[2] for x in want) > 100
+    assert op06_substring_dedup.substring_dedup(empty).collect() == []
+
+
+def test_suffix_automaton():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        texts = [[rng.randint(0, 2) for _ in range(rng.randint(0, 14))] for _ in range(4)]
+        a = op06_substring_dedup.SuffixAutomaton()
+        for t in texts:
+            a.add(t)
+        subs = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        probe = [rng.randint(0, 2) for _ in range(20)]
+        assert a.statistics(probe) == [max([0, *(n for n in range(1, e + 1) if tuple(probe[e - n : e]) in subs)]) for e in range(1, 21)]
+
+
+def test_hot_groups_are_dealt_by_windows(docs, monkeypatch):
+    from tessella.llm import windows
+
+    want6, want10 = ordered(op06_substring_dedup.substring_dedup(docs)), ordered(op10_suffix_array.suffix_array_dedup(docs))
+    monkeypatch.setattr(windows, "GROUP_RUNS", 1)
+    assert ordered(op06_substring_dedup.substring_dedup(docs)) == want6
+    assert ordered(op10_suffix_array.suffix_array_dedup(docs)) == want10
+
+
+def test_exact_dedup(docs, empty):
+    groups = defaultdict(list)
+    for i, t in ids():
+        groups[re.sub(r"[\x20\x09-\x0D]+", "", t or "")].append((-len(t or ""), i))
+    want = []
+    for norm, own in groups.items():
+        keep = min(own)[1]
+        want += [(out_id(i), out_id(keep), len(own), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for _, i in own]
+    assert ordered(op07_exact_dedup.exact_dedup(docs)) == sorted(want, key=repr)
+    assert op07_exact_dedup.exact_dedup(empty).collect() == []
+
+
+def test_counting_quotient_filters_merge_losslessly():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 2**64, 400, dtype=np.uint64) for _ in range(3)]
+    parts[1][:300] = parts[0][:300]
+    parts[2][:50] = parts[0][0]
+    parts[2] = np.concatenate([parts[2], np.repeat(parts[0][1], 300)])
+    filters = [op07_exact_dedup.CountingQuotientFilter.load(op07_exact_dedup.CountingQuotientFilter(12, p).dump()) for p in parts]
+    merged = op07_exact_dedup.CountingQuotientFilter.merge(filters)
+    values, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert (merged.prints() == values).all() and (merged.count == counts).all()
+
+
+def test_language_id(spark, empty):
+    import random
+
+    rng = random.Random(5)
+    kinds = {"aa": "bal dor kim ten war sol".split(), "bb": "épi çao ùlo ïne ôra àtu".split()}
+    some = []
+    for i in range(240):
+        lang = rng.choice(list(kinds))
+        some.append((i, " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 40))), lang, "s", None, 0, "", 0, "", 0, "", 0, ""))
+    some += [(900, None, "aa", "s", 0, 0, "", 0, "", 0, "", 0, ""), (901, "12 ...", "aa", "s", 0, 0, "", 0, "", 0, "", 0, ""), (902, "", None, "s", 0, 0, "", 0, "", 0, "", 0, ""), (None, "bal dor", None, "s", 0, 0, "", 0, "", 0, "", 0, "")]
+    df = frame(spark, some)
+    field = op08_language_id.train(df)
+    got = op08_language_id.identify(df.select("doc_id", "text"), field).withColumn("held_out", op08_language_id.held_out()).collect()
+    lang = {r[0]: r[2] for r in some}
+    assert len(got) == len(some)
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if r["doc_id"] in (900, 901, 902):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert 0 <= r["score"] <= 1
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 900]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    # code-switched text: words get labels of their own
+    raw, off = op08_language_id.utf8(pa.array(["baldor kimten warsol solkim tendor épiçao ùloïne ôraàtu çaoépi ïneùlo"]))
+    labels = op08_language_id.label_words(field, raw, off)[0].argmax(axis=1).tolist()
+    assert labels == [0] * 5 + [1] * 5
+    kept = op08_language_id.identified(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({900, 901, 902})
+    assert op08_language_id.train(empty) is None
+    assert {r["lang_pred"] for r in op08_language_id.identify(df.select("doc_id", "text"), None).collect()} == {"und"}
+    assert op08_language_id.identify(empty.select("doc_id", "text"), field).collect() == []
+
+
+def test_forward_backward():
+    """Marginals of side-by-side sequences equal sums over all labellings."""
+    import itertools
+
+    rng = np.random.default_rng(2)
+    before = np.array([0, 3, 3, 7, 8])
+    scores, transitions = rng.normal(size=(8, 3)), rng.normal(size=(3, 3))
+    order, live, base = op08_language_id.side_by_side(before)
+    laid = np.empty_like(scores)
+    laid[order] = scores
+    got = op08_language_id.marginals(laid, transitions, live, base)[order]
+    for a, z in itertools.pairwise(before):
+        want = np.zeros((z - a, 3))
+        for path in itertools.product(range(3), repeat=z - a):
+            weight = np.exp(sum(scores[a + k, c] for k, c in enumerate(path)) + sum(transitions[x, y] for x, y in itertools.pairwise(path)))
+            for k, c in enumerate(path):
+                want[k, c] += weight
+        if z > a:
+            assert np.allclose(got[a:z], want / want.sum(axis=1, keepdims=True))
+
+
+def targets(size):
+    names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [s for s in size if s is None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    total, stopped = 1.5 * sum(size.values()), {}
+    while True:
+        rest = total - sum(2 * size[s] for s in stopped)
+        live = [s for s in names if s not in stopped]
+        want = {s: rest * weight[s] / sum(weight[x] for x in live) for s in live}
+        over = {s for s in live if want[s] > 2 * size[s]}
+        if not over:
+            return want | {s: 2.0 * size[s] for s in stopped}
+        stopped |= dict.fromkeys(over)
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_mixing(docs, empty, block):
+    got = op09_mixing.mix_sources(docs, block_words=block).collect()
+    source = {(r[0], len(words(r[1]))): r[3] for r in rows()}
+    size, taken = defaultdict(int), defaultdict(int)
+    for r in rows():
+        size[r[3]] += len(words(r[1]))
+    want = targets(size)
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len(words(r[1]))) for r in rows())
+    for r in got:
+        s = source[r["doc_id"], r["size"]]
+        taken[s] += r["taken"]
+        assert r["source_size"] == size[s] and abs(r["target"] - want[s]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in size)
+    assert sorted(map(tuple, got), key=repr) == ordered(op09_mixing.mix_sources(docs.repartition(2), block_words=block))
+    assert op09_mixing.mix_sources(empty).collect() == [] == op09_mixing.mixed_documents(empty).collect()
+
+
+def test_mixed_documents(docs):
+    got = op09_mixing.mixed_documents(docs, block_words=64)
+    assert got.columns == docs.columns
+    times = Counter(r["doc_id"] for r in got.collect())
+    assert set(times.values()) <= {1, 2, 3, 4, 5, 6} and sum(times.values()) > 20
+
+
+def test_suffix_array(docs, empty):
+    size = 60
+    seen = Counter()
+    for _, t in ids():
+        b = (t or "").encode()
+        seen.update(b[k : k + size] for k in range(len(b) - size + 1))
+    want = []
+    for i, t in ids():
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - size + 1):
+            if seen[b[k : k + size]] > 1:
+                gone[k : k + size] = True
+        kept = bytes(c for c, g in zip(b, gone[:-1], strict=True) if not g)
+        want.append((out_id(i), len(b), int(gone.sum()), int((gone[:-1] & ~np.roll(gone, 1)[:-1]).sum()), kept))
+    docs_small = op10_suffix_array.documents(docs, "doc_id", "text")
+    monkey = op10_suffix_array.repeated_byte_spans(docs_small, size, 16)
+    spans = defaultdict(list)
+    for r in monkey.collect():
+        spans[r["id"]].append(r)
+    got = []
+    for i, t in ids():
+        b, own = (t or "").encode(), op10_suffix_array.merged(spans[i])
+        at, rest = 0, b""
+        for lo, hi in own:
+            rest, at = rest + b[at:lo], hi
+        rest += b[at:]
+        got.append((out_id(i), len(b), len(b) - len(rest), len(own), rest))
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[2] for x in want) > 1000
+    full = op10_suffix_array.suffix_array_dedup(docs).collect()
+    assert len(full) == len(rows()) and any(r["n_removed"] for r in full)
+    assert op10_suffix_array.suffix_array_dedup(empty).collect() == []
+
+
+def test_deep_shallow_order():
+    import random
+
+    rng = random.Random(6)
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(600)) * 3, np.uint8)
+    starts = np.arange(1500)
+    raw = data.tobytes()
+    got = list(op10_suffix_array.deep_shallow(data, starts, np.zeros(1500, np.int64), 80))
+    strings = defaultdict(list)
+    for s in starts.tolist():
+        strings[raw[s : s + 80]].append(s)
+    assert [sorted(x) for x in got] == [v for _, v in sorted(strings.items()) if len(v) > 1]
