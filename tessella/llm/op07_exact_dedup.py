@@ -137,7 +137,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     many, path = stage(repeated_fingerprints(narrow).select("fp"), "exact-many")
     routed = base.join(maybe_broadcast(many, 16), "fp", "left_semi")
     # the bytes decide: the text itself is a grouping key, and copies collapse before the exchange
-    best = F.max(F.struct("points", (-F.col("id") - 1).alias("minus")))  # -id-1 stays in range for the smallest long
+    best = F.max(F.struct("points", F.bitwise_not("id").alias("minus")))  # the order of ids turned round
     groups = routed.groupBy("fp", "norm").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), F.bitwise_not("best.minus").alias("keep"), "group_size").filter("group_size > 1")
     groups, _ = stage(groups, "exact-groups")
