@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def windowed(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window_start, event_type, n, mean over tumbling windows."""
-    rows = stream.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type")
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type")
     return rows.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("window_start"), "event_type", "n", "mean")
 
 
