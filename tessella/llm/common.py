@@ -30,10 +30,9 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
-    jsc = spark.sparkContext._jsc.sc()
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
+    if conf := spark.conf.get("spark.checkpoint.dir", ""):
         return conf.rstrip("/")
+    jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-", dir="/tmp"))
     return jsc.getCheckpointDir().get().rstrip("/")
