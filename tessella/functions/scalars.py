@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,15 +20,21 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(z: Column) -> Column:
     """exp(z) over its sum, kept in range by the largest value."""
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / total(e))
+    share = lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return let(z, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), share)))
 
 
 def log_softmax(z: Column) -> Column:
-    top = F.array_max(z)
-    return F.transform(z, lambda x: x - top - F.log(total(F.transform(z, lambda y: F.exp(y - top)))))
+    """z less the logarithm of the sum of exp(z), kept in range by the largest value."""
+    less = lambda v, top: let(top + F.log(total(F.transform(v, lambda y: F.exp(y - top)))), lambda n: F.transform(v, lambda x: x - n))
+    return let(z, lambda v: let(F.array_max(v), lambda top: less(v, top)))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

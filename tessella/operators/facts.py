@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
@@ -58,5 +58,5 @@ def frequencies(df: DataFrame, context: list[Column], value: Column) -> DataFram
     """Facts from a table: in each context, each value with its share of the rows. value comes out as `value`."""
     counts = df.groupBy(*context, value.alias("value")).agg(F.count("*").alias("n"))
     names = [c for c in counts.columns if c not in ("value", "n")]
-    whole = counts.groupBy(*names).agg(F.sum("n").alias("all"))
-    return counts.join(whole, names).select(*names, "value", (F.col("n") / F.col("all")).alias("prob"))
+    whole = F.sum("n").over(Window.partitionBy(*names))  # over the counts, not the rows
+    return counts.select(*names, "value", (F.col("n") / whole).alias("prob"))

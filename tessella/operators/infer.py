@@ -17,18 +17,27 @@ def argmax_digits(pairs: DataFrame) -> DataFrame:
     return pairs.select("ex", S.argmax(F.col("p0")).alias("d0"), S.argmax(F.col("p1")).alias("d1"))
 
 
-def constrained(pairs: DataFrame, feasible, sums=None) -> DataFrame:
-    """ex, d0, d1, s, score: the assignment with the largest sum of log probabilities that satisfies the constraints.
+def best_assignment(p0, p1, feasible, sums=None):
+    """The assignment (d0, d1, s, score) with the largest sum of log probabilities that satisfies the constraints, as a
+    Column over two distributions.
 
     All 100 digit pairs of an example stand in one array, so the search is exact and needs neither a join nor an
     exchange. feasible: from columns (d0, d1, s) to a predicate; sums: a distribution of s to add, or none. Of equal
-    scores the smallest (d0, d1) wins; without a feasible assignment d0, d1, s and score are null.
+    scores the smallest (d0, d1) wins; without a feasible assignment the result is null.
     """
     log = lambda p: F.log(F.greatest(p, F.lit(1e-300)))
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda a: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda b: F.struct(a.alias("d0"), b.alias("d1"), (a + b).alias("s"), (log(F.get("p0", a)) + log(F.get("p1", b)) + (log(F.get(sums, a + b)) if sums is not None else F.lit(0.0))).alias("score")))))
+    digits = F.sequence(F.lit(0), F.lit(9))
+    score = lambda a, b: log(F.get(p0, a)) + log(F.get(p1, b)) + (log(F.get(sums, a + b)) if sums is not None else F.lit(0.0))
+    cells = F.flatten(F.transform(digits, lambda a: F.transform(digits, lambda b: F.struct(a.alias("d0"), b.alias("d1"), (a + b).alias("s")))))
     allowed = F.filter(cells, lambda c: feasible(c["d0"], c["d1"], c["s"]))
+    scored = F.transform(allowed, lambda c: F.struct(c["d0"].alias("d0"), c["d1"].alias("d1"), c["s"].alias("s"), score(c["d0"], c["d1"]).alias("score")))
     better = lambda x, c: F.when(x.isNull() | (c["score"] > x["score"]), c).otherwise(x)
-    best = F.aggregate(F.slice(allowed, 2, 100), F.get(allowed, F.lit(0)), better)
+    return S.let(scored, lambda v: F.aggregate(F.slice(v, 2, 100), F.get(v, F.lit(0)), better))
+
+
+def constrained(pairs: DataFrame, feasible, sums=None) -> DataFrame:
+    """ex, d0, d1, s, score: each example's best feasible assignment, or nulls."""
+    best = best_assignment(F.col("p0"), F.col("p1"), feasible, sums)
     return pairs.withColumn("__b", best).select("ex", F.col("__b.d0").alias("d0"), F.col("__b.d1").alias("d1"), F.col("__b.s").alias("s"), F.col("__b.score").alias("score"))
 
 

@@ -277,10 +277,11 @@ def ilp_free_sum(spark, d):
 def _decoded(spark, d):
     """ex, method, d0, d1, s and the labels, by argmax (the sum decoded by itself) and under the fixed sum."""
     g = _pairs(spark, d).withColumn("target", F.col("l0") + F.col("l1"))
-    sums = S.argmax(rules.sum_of_two())
-    plain = g.select("ex", F.lit("argmax").alias("method"), S.argmax(F.col("p0")).alias("d0"), S.argmax(F.col("p1")).alias("d1"), sums.alias("s"))
-    ilp = infer.constrained(g, lambda a, b, s: s == F.col("target")).select("ex", F.lit("ilp").alias("method"), "d0", "d1", "s")
-    return plain.unionByName(ilp).join(g.select("ex", "l0", "l1", "target"), "ex")
+    # one pass: both methods of an example are made side by side and then become rows
+    row = lambda name, d0, d1, s: F.struct(F.lit(name).alias("method"), d0.alias("d0"), d1.alias("d1"), s.alias("s"))
+    plain = row("argmax", S.argmax(F.col("p0")), S.argmax(F.col("p1")), S.argmax(rules.sum_of_two()))
+    ilp = S.let(infer.best_assignment(F.col("p0"), F.col("p1"), lambda a, b, s: s == F.col("target")), lambda b: row("ilp", b["d0"], b["d1"], b["s"]))
+    return g.select("ex", "l0", "l1", "target", F.explode(F.array(plain, ilp)).alias("r")).select("ex", "l0", "l1", "target", "r.*")
 
 
 @query
