@@ -334,9 +334,24 @@ def spans_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(i, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["id", "lo", "hi"])
 
 
+def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (id, lo, hi), sorted, with those that touch made one; a batch's last may stay apart from the next's first."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, lo, hi = (b.column(c).to_numpy().astype(np.int64) for c in ("id", "lo", "hi"))
+        # ids as numbers from 0, above the places, so that one running maximum serves all documents
+        base = np.cumsum(np.r_[0, ids[1:] != ids[:-1]]) << 40
+        reach = np.maximum.accumulate(base + hi)
+        first = np.flatnonzero(np.r_[True, (base + lo)[1:] > reach[:-1]])
+        last = np.r_[first[1:], len(ids)] - 1
+        yield pa.record_batch([pa.array(ids[first]), pa.array(lo[first].astype(np.int32)), pa.array((reach - base)[last].astype(np.int32))], names=["id", "lo", "hi"])
+
+
 def spans_by_id(spans: DataFrame) -> DataFrame:
-    """id, spans: a document's spans as one list (of at most as many as it has runs)."""
-    return spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    """id, spans: a document's maximal spans as one list."""
+    joined = spans.repartition("id").sortWithinPartitions("id", "lo").mapInArrow(join_spans, "id long, lo int, hi int")
+    return joined.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def documents(df: DataFrame, key: str, text: str) -> DataFrame:
