@@ -2,7 +2,8 @@
 
 Texts are cut into pre-tokens for many texts at once; each distinct pre-token is encoded by the tokenizers library
 once and remembered, as byte-level BPE encodes every pre-token by itself. Texts with characters outside the ranges
-whose classes are certain go to the library whole. Documents are exchanged once, by ranges of their id, and each range
+whose classes are certain go to the library whole, and so do texts that hold an added token (such as <|endoftext|>),
+which the library matches before it cuts. Documents are exchanged once, by ranges of their id, and each range
 becomes one file: ids are dictionary-encoded list values, doc_id, start and n_tokens are delta-encoded, row groups
 hold a bounded number of documents, and pages have an index. So a reader gets metadata without the ids, or some
 documents' ids without the others.
@@ -102,6 +103,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.forget()
 
     def forget(self) -> None:
@@ -150,8 +152,9 @@ class Encoder:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         cut = np.searchsorted(lead, off)
-        if not (ok := certain(points)).all():
-            return self.mixed(text, points, raw, off, cut, ok)
+        ok, own = certain(points), self.with_added(text, cut)
+        if own.any() or not ok.all():
+            return self.mixed(text, raw, off, cut, ok, own)
         if self.used > MEMORY_IDS:
             self.forget()
         first = pretokens(points, cut)
@@ -181,10 +184,23 @@ class Encoder:
         before = np.concatenate([[0], ends])[np.searchsorted(first, cut)]
         return self.flat[index], np.diff(before)
 
-    def mixed(self, text, points, raw, off, cut, ok) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with uncertain characters by the library, the runs of others between them as usual."""
+    def with_added(self, text: str, cut: np.ndarray) -> np.ndarray:
+        """Which texts hold an added token; cut has their bounds in code points."""
+        out = np.zeros(len(cut) - 1, bool)
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(cut, at, "right")) - 1
+                inside = at + len(token) <= cut[k + 1]
+                out[k] |= inside
+                at = text.find(token, int(cut[k + 1]) if inside else at + 1)
+        return out
+
+    def mixed(self, text, raw, off, cut, ok, own) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with uncertain characters or added tokens by the library, the runs of others between them as usual."""
         good = np.add.reduceat(np.concatenate([(~ok).astype(np.int64), [0]]), cut[:-1]) == 0
         good |= np.diff(cut) == 0
+        good &= ~own
         ids, sizes, lo = [], [], 0
         while lo < len(good):
             hi = lo + 1

@@ -136,6 +136,17 @@ def test_encoder_matches_the_library_on_random_texts():
     assert [got[a:z].tolist() for a, z in zip(cut[:-1], cut[1:], strict=True)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_matches_added_tokens_in_plain_texts():
+    import public_tokenizers
+
+    texts = ["one <|endoftext|> two", "", "no token", "<|endof", "text|>", "<|endoftext|>", "", "a<|endoftext|><|endoftext|>b", "<|endoftext", "plain words", "<|endoftext|> é", "我<|endoftext|>", "last <|"]
+    e = op03_token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    got, n = e.encode(*op03_token_ids.utf8(pa.array(texts)))
+    cut = np.concatenate([[0], np.cumsum(n)])
+    assert [got[a:z].tolist() for a, z in zip(cut[:-1], cut[1:], strict=True)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert got[: n[0]].tolist() == [505, 220, 50256, 734]
+
+
 def edits(p, t):
     row = [0] * (len(t) + 1)
     for c in p:
