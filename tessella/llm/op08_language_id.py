@@ -2,8 +2,9 @@
 
 Words are labelled with languages. A word's score for a language sums learned weights of its features: the word itself
 if it is in the lexicon (words seen several times in the sample), its first 1 to 3 and last 1 to 4 bytes, and its
-3-byte n-grams; transitions between the languages of neighbouring words are learned too. Forward-backward gives each
-word's distribution over languages, in code-switched text as well, and a document's language is that with the largest
+3-byte n-grams; transitions between the languages of neighbouring words are learned too. A word is a run without
+ASCII white space; one of more than LONG bytes, as in text written without spaces, is cut between characters into
+pieces of about equal size, and each piece stands as a word of its own. Forward-backward gives each word's distribution over languages, in code-switched text as well, and a document's language is that with the largest
 sum over its words with letters.
 
 Training takes a bounded sample of labelled documents to the driver, cuts them into phrases, and joins phrases of
@@ -29,6 +30,8 @@ from .words import bounds, mix, prefix, run
 SAMPLE_DOCS, SAMPLE_LANGUAGES, SAMPLE_PHRASES = 250, 100, 60
 PHRASE = 12
 LEXICON_TIMES = 3
+#: Bytes of a word; longer ones are cut into pieces (of up to 3 bytes more, as characters stay whole).
+LONG = 42
 BITS = 17
 STEPS, SEQUENCES, RATE, DECAY = 160, 96, 0.25, 1e-6
 #: Bytes of text whose sequences are labelled side by side.
@@ -50,8 +53,25 @@ class Words:
     cuts: np.ndarray
 
 
+def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of words (as from bounds) with those of more than LONG bytes cut into consecutive pieces."""
+    size = end - start
+    if size.max(initial=0) <= LONG:
+        return start, end, before
+    count = -(-size // LONG)
+    word = np.repeat(np.arange(len(size)), count)
+    ends = np.cumsum(count)
+    nth = np.arange(len(word)) - (ends - count)[word]
+    cut = start[word] + nth * size[word] // count[word]
+    for _ in range(3):
+        cut -= (nth > 0) & ((raw[cut] & 0xC0) == 0x80)
+    until = np.append(cut[1:], 0)
+    until[ends - 1] = end
+    return cut, until, np.append(0, ends)[before]
+
+
 def read_words(raw: np.ndarray, off: np.ndarray) -> Words:
-    start, end, before = bounds(raw, off)
+    start, end, before = pieces(raw, *bounds(raw, off))
     sums = prefix(raw, lower=True)
     h = run(sums, start, end)
     known, one, which = np.unique(h, return_index=True, return_inverse=True)
@@ -72,7 +92,7 @@ def read_words(raw: np.ndarray, off: np.ndarray) -> Words:
     for n in (1, 2, 3, 4):
         rows = everyone[size >= n]
         add(10 + n, rows, end[rows] - n, end[rows])
-    n = np.clip(size - 2, 0, 40)  # a word's letters beyond 42 bytes say nothing new
+    n = np.maximum(size - 2, 0)
     rows = np.repeat(everyone, n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[rows]
     add(20, rows, at, at + 3)

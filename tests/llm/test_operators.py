@@ -318,6 +318,24 @@ def test_language_id(spark, empty):
     assert op08_language_id.identify(empty.select("doc_id", "text"), field).collect() == []
 
 
+def test_language_id_reads_long_words_to_their_end():
+    import random
+
+    rng = random.Random(6)
+    kinds = {"aa": "bal dor kim ten war sol".split(), "bb": "épi çao ùlo ïne ôra àtu".split()}
+    make = lambda lang, n: "".join(rng.choice(kinds[lang]) for _ in range(n))
+    langs = [rng.choice(list(kinds)) for _ in range(80)]
+    field = op08_language_id.fit([" ".join(make(x, rng.randint(1, 3)) for _ in range(30)) for x in langs], langs)
+    long = [make("aa", 16) + make("bb", 300) + make("aa", 2), make("bb", 16) + make("aa", 300) + make("bb", 2), make("aa", 150) + make("bb", 100)]
+    raw, off = op08_language_id.utf8(pa.array([*long, "\u3000".join(long), "bal", ""]))
+    which, share = op08_language_id.predict(field, raw, off)[:2]
+    assert which[:2].tolist() == [1, 0] and which[4:].tolist() == [0, -1] and 0.8 < share[0] < 1 and 0.8 < share[1] < 1
+    # every byte lies in a piece, pieces are short, begin with a character and lie in their text
+    start, end, before = op08_language_id.pieces(raw, *op08_language_id.bounds(raw, off))
+    assert (start[1:] == end[:-1]).all() and start[0] == 0 and end[-1] == len(raw) and (end - start).max() <= op08_language_id.LONG + 3
+    assert ((raw[start] & 0xC0) != 0x80).all() and start[before[:-2]].tolist() == off[:-2].tolist() and before[-1] == before[-2] == len(start)
+
+
 def test_forward_backward():
     """Marginals of side-by-side sequences equal sums over all labellings."""
     import itertools
