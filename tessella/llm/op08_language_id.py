@@ -251,17 +251,20 @@ def label_words(field: Field, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     return marginals(laid, field.transitions, live, base)[order], words
 
 
-def predict(field: Field, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's language (its number) and that language's part of the words with letters; -1 and 0 without any."""
+def predict(field: Field, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's language (its number), that language's part of the words with letters, and how surely these are
+    labelled: the mean of each one's largest marginal; -1, 0 and 0 without any."""
     got, words = label_words(field, raw, off)
     got[~words.letters[words.which]] = 0
     sums = np.zeros((len(got) + 1, got.shape[1]))
     np.cumsum(got, axis=0, out=sums[1:])
+    largest = np.concatenate([[0], np.cumsum(got.max(axis=1))])
     mass = sums[words.before[1:]] - sums[words.before[:-1]]
     total = mass.sum(axis=1)
     best = mass.argmax(axis=1)
     share = mass[np.arange(len(mass)), best] / np.maximum(total, 1e-9)
-    return np.where(total > 1e-9, best, -1), np.where(total > 1e-9, np.clip(share, 0, 1), 0.0)
+    sure = (largest[words.before[1:]] - largest[words.before[:-1]]) / np.maximum(total, 1e-9)
+    return np.where(total > 1e-9, best, -1), *(np.where(total > 1e-9, np.clip(x, 0, 1), 0.0) for x in (share, sure))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -282,8 +285,9 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     return fit([t for _, _, t in got], [x for x, _, _ in got])
 
 
-def identify(df: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
-    """df with lang_pred (one of the field's languages, or `und`) and score (0 to 1).
+def identify(df: DataFrame, field: Field | None, text: str = "text", sure: str | None = None) -> DataFrame:
+    """df with lang_pred (one of the field's languages, or `und`) and score (0 to 1); with sure, also a column of that
+    name that says how surely the words are labelled (0 to 1), in whichever languages.
 
     `und` with score 0 for null texts, texts without a letter, and all texts if there is no field. Columns of these
     names are replaced; all others pass unchanged. No rows give none.
@@ -291,31 +295,36 @@ def identify(df: DataFrame, field: Field | None, text: str = "text") -> DataFram
     spark = tuned(df.sparkSession)
     sent = spark.sparkContext.broadcast(field)
 
-    @F.pandas_udf("language string, score double")
+    @F.pandas_udf("language string, score double, sure double")
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             batch = pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"])
-            names, scores = [], []
+            names, scores, sures = [], [], []
             for part, raw, off in chunks(iter([batch]), limit=SIDE_BY_SIDE):
                 if sent.value is None:
                     names += ["und"] * part.num_rows
                     scores += [0.0] * part.num_rows
+                    sures += [0.0] * part.num_rows
                     continue
-                which, share = predict(sent.value, raw, off)
+                which, share, certainty = predict(sent.value, raw, off)
                 names += [sent.value.languages[w] if w >= 0 else "und" for w in which.tolist()]
                 scores += share.tolist()
-            yield pd.DataFrame({"language": names, "score": scores})
+                sures += certainty.tolist()
+            yield pd.DataFrame({"language": names, "score": scores, "sure": sures})
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     out = df.withColumn("__guess", guess(F.coalesce(F.col(text), F.lit(""))))
     out = out.withColumns({"lang_pred": F.when(letters, F.col("__guess.language")).otherwise("und"), "score": F.when(letters, F.col("__guess.score")).otherwise(0.0)})
+    if sure:
+        out = out.withColumn(sure, F.when(letters, F.col("__guess.sure")).otherwise(0.0))
     return out.drop("__guess")
 
 
 def identified(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", least: float = 0.4) -> DataFrame:
-    """df without the rows whose language can't be told: `und`, or a score below least."""
-    found = identify(df, train(df, key, text, label), text)
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    """df without the rows whose language can't be told: `und`, or words whose largest marginals have a mean below
+    least. Text of several languages stays if its words are labelled surely, however small each language's share."""
+    found = identify(df, train(df, key, text, label), text, "__sure")
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("__sure") >= least))
     return kept.select(*df.columns)
 
 

@@ -336,6 +336,24 @@ def test_language_id_reads_long_words_to_their_end():
     assert ((raw[start] & 0xC0) != 0x80).all() and start[before[:-2]].tolist() == off[:-2].tolist() and before[-1] == before[-2] == len(start)
 
 
+def test_clean_text_of_three_languages_is_kept(spark):
+    import random
+
+    rng = random.Random(8)
+    kinds = {"aa": "bal dor kim ten war sol".split(), "bb": "épi çao ùlo ïne ôra àtu".split(), "cc": "жук щит эхо юла яма цех".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    some = [(i, make(x, 30), x) for i, x in enumerate(rng.choice(list(kinds)) for _ in range(240))]
+    some += [(900 + i, " ".join(make(x, 12) for x in kinds), None) for i in range(6)] + [(950, "12 34", None), (951, None, None)]
+    df = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    field = op08_language_id.train(df)
+    assert {r["doc_id"] for r in op08_language_id.identify(df, field).collect() if r["score"] < 0.4} == {*range(900, 906), 950, 951}
+    assert {r["doc_id"] for r in op08_language_id.identified(df).collect()} == {*range(240), *range(900, 906)}
+    # words that nothing is known of aren't sure
+    raw, off = op08_language_id.utf8(pa.array(["qqq zzz xxx", some[0][1]]))
+    field.weights[:], field.lexicon_weights[:], field.transitions[:] = 0, 0, 0
+    assert op08_language_id.predict(field, raw, off)[2] == pytest.approx([1 / 3, 1 / 3])
+
+
 def test_forward_backward():
     """Marginals of side-by-side sequences equal sums over all labellings."""
     import itertools
