@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import binaries, chunks, drop, id_in, int64, maybe_broadcast, stage, tuned
 from .words import _INVERSE, _power, bounds, grams, inside, mix, prefix, run, word_hashes
 
+#: Bits that name a place; a text of more symbols is worked through in overlapping pieces.
 PLACE_BITS = 26
 #: Bits of the map of repeated anchors that goes to all tasks, at most: 32 MB. Anchors that share a bit are sent in
 #: vain and find no partner, so the bound costs time on very large inputs, never results.
@@ -115,10 +116,14 @@ def runs(form, symbols: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.
         return none
     h = form.grams(symbols, form.gram)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    if len(h) > 1 << PLACE_BITS:
-        raise ValueError("a text has more symbols than a place in it can name")
-    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), form.size - form.gram + 1)
-    place = (least & low).astype(np.int64)
+    wide = form.size - form.gram + 1
+    step = (1 << PLACE_BITS) - wide + 1
+    places = []
+    for a in range(0, len(h) - wide + 1, step):
+        part = h[a : a + step + wide - 1]
+        least = sliding_min((part & ~low) | np.arange(len(part), dtype=np.uint64), wide)
+        places.append((least & low).astype(np.int64) + a)
+    place = np.concatenate(places)
     ok = np.flatnonzero(inside(before, form.size))
     if not len(ok):
         return none

@@ -260,6 +260,19 @@ def test_hot_groups_are_dealt_by_windows(docs, monkeypatch):
     assert ordered(op10_suffix_array.suffix_array_dedup(docs)) == want10
 
 
+@pytest.mark.parametrize("form", ["Bytes", "Words"])
+def test_runs_of_texts_longer_than_places_can_name(form, monkeypatch):
+    from tessella.llm import windows
+
+    some = ["".join(f"w{x} " for x in np.random.default_rng(7).integers(0, 99, 1500)), "short", "".join(f"w{x} " for x in range(900))]
+    raw, off = windows.Bytes(1, 1).symbols(*op03_token_ids.utf8(pa.array(some)))
+    form = getattr(windows, form)(20, 8)
+    want = windows.runs(form, *form.symbols(raw, off))
+    monkeypatch.setattr(windows, "PLACE_BITS", 7)
+    got = windows.runs(form, *form.symbols(raw, off))
+    assert len(want[0]) > 100 and all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
 def test_exact_dedup(docs, empty):
     groups = defaultdict(list)
     for i, t in ids():
