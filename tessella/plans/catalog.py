@@ -703,7 +703,7 @@ def train_programs(spark, d):
 @query
 def few_shot_sweep(spark, d):
     images = facts.images(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), "label")
-    return spark.createDataFrame(training.few_shot(images, (8, 32), 20), "n int, accuracy double")
+    return spark.createDataFrame(training.few_shot(images), "n int, accuracy double")
 
 
 @query

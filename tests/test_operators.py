@@ -181,6 +181,25 @@ def test_few_shot(spark):
     assert got[20] == 1.0 and got[5] < 1.0
 
 
+def test_few_shot_sweep_runs_all_sizes(spark, monkeypatch):
+    import inspect
+
+    from tessella.plans import catalog
+
+    seen = []
+    shape = inspect.signature(training.few_shot)
+
+    def spy(*args, **named):
+        got = shape.bind(*args, **named)
+        got.apply_defaults()
+        seen.append((got.arguments["sizes"], got.arguments["epochs"]))
+        return [(n, 0.0) for n in got.arguments["sizes"]]
+
+    monkeypatch.setattr(training, "few_shot", spy)
+    rows = catalog.few_shot_sweep(spark, "/root/testdata/sf0.001").collect()
+    assert [r["n"] for r in rows] == [8, 16, 32, 64, 128, 256] and seen[0][1] == 40
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0], [1, 2, 0])], "z array<double>, d array<int>")
     r = df.select(S.argmax(F.col("z")).alias("a"), S.digits_to_number(F.col("d")).alias("n"), S.total(S.softmax(F.col("z"))).alias("t"), S.distr_string(F.col("d")).alias("s"), S.clamp(F.lit(5.0), 0, 1).alias("c")).first()
