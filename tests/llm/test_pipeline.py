@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from test_operators import edits, words
+from test_llm_operators import edits, words
 
 import corpus_pipeline
 from tessella.llm import op04_decontamination, op08_language_id, op09_mixing, registry
