@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ BROADCAST_BYTES = 32 << 20
 #: Bytes that one Arrow batch sends to Python at most, so that very long texts don't meet in one batch.
 BATCH_BYTES = 4 << 20
 #: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Stands for a null id inside the operators; results carry null again.
 NULL_ID = -(2**63)
 INT_MIN = NULL_ID
@@ -29,11 +30,14 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset, which only
+    a local master may leave so, as executors elsewhere can't see this machine's folders."""
     if conf := spark.conf.get("spark.checkpoint.dir", ""):
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        if not jsc.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-", dir="/tmp"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -47,11 +51,22 @@ def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written[df.sparkSession.sparkContext.applicationId].add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Tables that stage() has written and nothing has deleted, by application.
+_written: dict[str, set[str]] = defaultdict(set)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables that the operators have written for this application: once no result is read any more."""
+    drop(spark, *_written[spark.sparkContext.applicationId])
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes written tables that nothing will read again."""
+    _written[spark.sparkContext.applicationId].difference_update(paths)
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -68,6 +83,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column (in upper or lower case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_in(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
@@ -77,6 +103,26 @@ def id_out(column):
     return F.when(c != F.lit(NULL_ID), c)
 
 
+_libc = None
+
+
+def lean() -> None:
+    """Lets this worker give memory back to the system: large arrays when they are freed, the rest now. A worker lives
+    for many tasks, beside others in one executor."""
+    global _libc
+    import ctypes
+
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL(None)
+            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: from here on, a block of its own, unmapped when freed
+        except (OSError, AttributeError):
+            _libc = False
+    if _libc and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string or binary array; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -101,6 +147,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
+        lean()
         raw, off = utf8(batch.column(text))
         lo = 0
         while lo < batch.num_rows:
@@ -108,6 +155,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo), raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    lean()
 
 
 def int64(col: pa.Array) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, id_in, stage, tuned
+from .common import drop, id_in, stage, tuned, unused
 
 LAW = "bytes"
 BIAS = 1 << 63
@@ -112,23 +112,25 @@ def splitters(narrow: DataFrame, ranges: int, tolerance: float, probes: int = 48
     return [p[0] for p in picked], [p[2] for p in picked]
 
 
-def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with h, i (the two halves of the sort key) and size (UTF-8 bytes plus 1; null text: 1), under reserved names."""
-    return df.withColumns({"__h": F.xxhash64(F.col(text)), "__i": id_in(key), "__size": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1})
+def keyed(df: DataFrame, names: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with, under the three names, the two halves of the sort key and the size (UTF-8 bytes plus 1; null text: 1)."""
+    h, i, size = names
+    return df.withColumns({h: F.xxhash64(F.col(text)), i: id_in(key), size: F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1})
 
 
-def histogram_shards(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = 0.004, narrow: DataFrame | None = None) -> DataFrame:
+def histogram_shards(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = 0.004, narrow: DataFrame | None = None, halves: tuple[str, str] | None = None) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard, in key order); sizes near equal.
 
     Defined cases: a null text has size 1 and forms one group with the other nulls; an empty text forms another. A
     null id sorts first. Rows equal in text and id share a key and may take either of their slots. An empty table
-    gives no rows. Other columns pass unchanged; columns named shard or slot are replaced.
+    gives no rows. Other columns pass unchanged, whatever their names; columns named shard or slot are replaced.
     narrow: df's keys and sizes (h, i, size), if already written somewhere; else they are written once here.
+    halves: df's columns that hold the sort key already, if any.
     """
     spark = tuned(df.sparkSession)
     path = None
     if narrow is None:
-        narrow, path = stage(keyed(df.select(key, text), key, text).select(F.col("__h").alias("h"), F.col("__i").alias("i"), F.col("__size").alias("size")), "shard-keys")
+        narrow, path = stage(keyed(df.select(key, text), ["h", "i", "size"], key, text).select("h", "i", "size"), "shard-keys")
     total, n = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     per = max(1, -(-int(total) // (n_shards * RANGE_BYTES)), -(-int(n) // (n_shards * RANGE_ROWS)))
     keys, below = splitters(narrow, n_shards * per, tolerance / per if per > 1 else tolerance)
@@ -143,21 +145,23 @@ def histogram_shards(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text
         at = _bucket(h.to_numpy(), i.to_numpy(), ph, pi)
         return pd.DataFrame({"at": at.astype(np.int32), "base": base[at] - first[at]})
 
-    rows = df if "__h" in df.columns else keyed(df, key, text)
-    rows = rows.withColumn("__place", place("__h", "__i"))
-    rows = rows.withColumns({"shard": F.floor(F.col("__place.at") / per).cast("int"), "__at": F.col("__place.at"), "__base": F.col("__place.base")})
-    slot = F.col("__base") + F.row_number().over(Window.partitionBy("__at").orderBy("__h", "__i")) - 1
-    return rows.withColumn("slot", slot.cast("long")).drop("__h", "__i", "__size", "__place", "__at", "__base")
+    h, i, size, found, at, before = unused(df, "__h", "__i", "__size", "__place", "__at", "__base")
+    rows = df if halves else keyed(df, [h, i, size], key, text)
+    h, i = halves or (h, i)
+    rows = rows.withColumn(found, place(h, i))
+    rows = rows.withColumns({at: F.col(found)["at"], before: F.col(found)["base"]}).withColumn("shard", F.floor(F.col(at) / per).cast("int"))
+    slot = F.col(before) + F.row_number().over(Window.partitionBy(at).orderBy(h, i)) - 1
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    return rows.withColumn("slot", slot.cast("long")).select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 by the law `bytes`."""
     tuned(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = keyed(docs).select("doc_id", "__h", "__i", "__size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = keyed(docs, ["h", "i", "size"]).select("doc_id", "h", "i", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     rows, _ = stage(rows, "op1")
-    narrow = rows.select(F.col("__h").alias("h"), F.col("__i").alias("i"), F.col("__size").alias("size"))
-    out = histogram_shards(rows.withColumn("size", F.col("__size")), 8, narrow=narrow)
+    out = histogram_shards(rows, 8, narrow=rows.select("h", "i", "size"), halves=("h", "i"))
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -4,39 +4,44 @@ Words are labelled with languages. A word's score for a language sums learned we
 if it is in the lexicon (words seen several times in the sample), its first 1 to 3 and last 1 to 4 bytes, and its
 3-byte n-grams; transitions between the languages of neighbouring words are learned too. A word is a run without
 ASCII white space; one of more than LONG bytes, as in text written without spaces, is cut between characters into
-pieces of about equal size, and each piece stands as a word of its own. Forward-backward gives each word's distribution over languages, in code-switched text as well, and a document's language is that with the largest
-sum over its words with letters.
-
-Training takes a bounded sample of labelled documents to the driver, cuts them into phrases, and joins phrases of
-several languages to sequences, so that transitions are learned from both kinds of neighbours. Stochastic gradients of
-the sequences' log-likelihood come from the same forward-backward.
+pieces of about equal size, and each piece stands as a word of its own. Forward-backward gives each word's
+distribution over languages, in code-switched text as well, and a document's language is that with the largest sum
+over its words with letters. A text of more than SIDE_BY_SIDE bytes is labelled in parts, each a chain of its own, and
+the sums run over all of them.
+
+Training cuts a bounded sample of labelled documents into phrases in the cluster; the driver gets these, and joins
+phrases of several languages to sequences, so that transitions are learned from both kinds of neighbours. Stochastic
+gradients of the sequences' log-likelihood come from the same forward-backward.
 """
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, tuned, utf8
-from .words import bounds, mix, prefix, run
+from .common import drop, lean, maybe_broadcast, stage, tuned, unused, utf8
+from .words import _SPACE, bounds, mix, prefix, run
 
-#: The bounds of the training sample: documents of a language, languages, and phrases of a document.
-SAMPLE_DOCS, SAMPLE_LANGUAGES, SAMPLE_PHRASES = 250, 100, 60
-PHRASE = 12
+#: The bounds of the training sample: documents of a language, documents in all (one of each language at least), phrases
+#: of a document, and words and bytes of a phrase. All languages take part, however many there are.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_PHRASES = 250, 8000, 60
+PHRASE, PHRASE_BYTES = 12, 1024
 LEXICON_TIMES = 3
 #: Bytes of a word; longer ones are cut into pieces (of up to 3 bytes more, as characters stay whole).
 LONG = 42
-BITS = 17
+#: Bits of a hashed feature, fewer where the weights of all languages would not fit in WEIGHTS numbers.
+BITS, WEIGHTS = 17, 1 << 24
 STEPS, SEQUENCES, RATE, DECAY = 160, 96, 0.25, 1e-6
 #: Bytes of text whose sequences are labelled side by side.
-SIDE_BY_SIDE = 3 << 20
-_LETTER = np.zeros(256, np.int64)
+SIDE_BY_SIDE = 1 << 19
+_LETTER = np.zeros(256, np.int8)
 _LETTER[65:91] = _LETTER[97:123] = 1
 _LETTER[128:] = 1
 
@@ -70,19 +75,19 @@ def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarr
     return cut, until, np.append(0, ends)[before]
 
 
-def read_words(raw: np.ndarray, off: np.ndarray) -> Words:
+def read_words(raw: np.ndarray, off: np.ndarray, bits: int = BITS) -> Words:
     start, end, before = pieces(raw, *bounds(raw, off))
     sums = prefix(raw, lower=True)
     h = run(sums, start, end)
     known, one, which = np.unique(h, return_index=True, return_inverse=True)
     start, end = start[one], end[one]
-    has = np.zeros(len(raw) + 1, np.int64)
+    has = np.zeros(len(raw) + 1, np.int32)
     np.cumsum(_LETTER[raw], out=has[1:])
     size = end - start
     parts, owners = [], []
 
     def add(kind: int, rows: np.ndarray, a: np.ndarray, z: np.ndarray) -> None:
-        parts.append(((mix(run(sums, a, z) + np.uint64(kind * 0x1000193))) >> np.uint64(64 - BITS)).astype(np.int32))
+        parts.append(((mix(run(sums, a, z) + np.uint64(kind * 0x1000193))) >> np.uint64(64 - bits)).astype(np.int32))
         owners.append(rows)
 
     everyone = np.arange(len(known))
@@ -110,6 +115,7 @@ class Field:
     lexicon: np.ndarray
     lexicon_weights: np.ndarray
     transitions: np.ndarray
+    bits: int = BITS
 
     def in_lexicon(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word in the lexicon; the last place, of weight 0, for others."""
@@ -122,7 +128,7 @@ class Field:
         """Each distinct word's score for each language; words without letters score 0."""
         k = len(self.languages)
         # every word has a first and a last byte, so no word is without features
-        out = np.add.reduceat(self.weights[words.features], words.cuts[:-1], axis=0).astype(np.float64) if len(words.hashes) else np.zeros((0, k))
+        out = np.add.reduceat(self.weights[words.features], words.cuts[:-1], axis=0) if len(words.hashes) else np.zeros((0, k), self.weights.dtype)
         out += self.lexicon_weights[self.in_lexicon(words.hashes)]
         out[~words.letters] = 0
         return out
@@ -146,7 +152,7 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, live: np.ndarray, bas
     pairs the expected number of each transition."""
     k = scores.shape[1]
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    t = np.exp(transitions - transitions.max())
+    t = np.exp(transitions - transitions.max()).astype(e.dtype)
     a = np.empty_like(e)
     for s, n in enumerate(live.tolist()):
         lo = base[s]
@@ -156,7 +162,7 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, live: np.ndarray, bas
         a[lo : lo + n] = now / now.sum(axis=1, keepdims=True)
     out = a.copy()
     expected = np.zeros((k, k))
-    back = np.ones((int(live[0]) if len(live) else 0, k))
+    back = np.ones((int(live[0]) if len(live) else 0, k), e.dtype)
     for s in range(len(live) - 2, -1, -1):
         n, lo, after = int(live[s + 1]), base[s], base[s + 1]
         message = e[after : after + n] * back[:n]
@@ -174,19 +180,21 @@ def fit(texts: list[str], labels: list[str], seed: int = 5) -> Field | None:
     """A field fitted to labelled texts; None without any."""
     if not texts:
         return None
-    random = np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     k = len(languages)
-    label = np.array([languages.index(x) for x in labels])
-    words = read_words(*utf8(pa.array(texts)))
+    number = {x: i for i, x in enumerate(languages)}
+    label = np.array([number[x] for x in labels])
+    bits = max(8, min(BITS, int(np.log2(WEIGHTS / k))))
+    words = read_words(*utf8(pa.array(texts)), bits)
     times = np.bincount(words.which, minlength=len(words.hashes))
     lexicon = words.hashes[(times >= LEXICON_TIMES) & words.letters]
-    field = Field(languages, np.zeros((1 << BITS, k)), lexicon, np.zeros((len(lexicon) + 1, k)), np.zeros((k, k)))
+    field = Field(languages, np.zeros((1 << bits, k)), lexicon, np.zeros((len(lexicon) + 1, k)), np.zeros((k, k)), bits)
     phrases: list[list[tuple[int, int]]] = [[] for _ in languages]
     for d, (a, z) in enumerate(zip(words.before[:-1].tolist(), words.before[1:].tolist(), strict=True)):
         own = list(range(a, z, PHRASE))
         if len(own) > SAMPLE_PHRASES:
-            own = random.choice(own, SAMPLE_PHRASES, replace=False).tolist()
+            own = rng.choice(own, SAMPLE_PHRASES, replace=False).tolist()
         phrases[label[d]] += [(p, min(p + PHRASE, z)) for p in own]
     full = [c for c in range(k) if phrases[c]]
     if not full:
@@ -196,11 +204,11 @@ def fit(texts: list[str], labels: list[str], seed: int = 5) -> Field | None:
     for _ in range(STEPS):
         which, truth, sizes = [], [], []
         for _ in range(SEQUENCES):
-            language, n = full[random.integers(len(full))], 0
-            for _ in range(int(random.integers(2, 6))):
-                if random.random() < 0.3:
-                    language = full[random.integers(len(full))]
-                a, z = phrases[language][random.integers(len(phrases[language]))]
+            language, n = full[rng.integers(len(full))], 0
+            for _ in range(int(rng.integers(2, 6))):
+                if rng.random() < 0.3:
+                    language = full[rng.integers(len(full))]
+                a, z = phrases[language][rng.integers(len(phrases[language]))]
                 which.append(words.which[a:z])
                 truth.append(np.full(z - a, language))
                 n += z - a
@@ -231,7 +239,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5) -> Field | None:
         pair = np.flatnonzero(~begins)
         actual = np.bincount(truth[pair - 1] * k + truth[pair], minlength=k * k).reshape(k, k)
         step(field.transitions, seen[2], np.arange(k), (actual - expected) / SEQUENCES)
-    field.weights = field.weights.astype(np.float32)
+    field.weights, field.lexicon_weights = field.weights.astype(np.float32), field.lexicon_weights.astype(np.float32)
     return field
 
 
@@ -244,26 +252,60 @@ def step(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.n
 
 def label_words(field: Field, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Words]:
     """Each word's distribution over the languages, for all words of all texts in order."""
-    words = read_words(raw, off)
+    words = read_words(raw, off, field.bits)
     order, live, base = side_by_side(words.before)
-    laid = np.empty((len(words.which), len(field.languages)))
+    laid = np.empty((len(words.which), len(field.languages)), field.weights.dtype)
     laid[order] = field.scores(words)[words.which]
     return marginals(laid, field.transitions, live, base)[order], words
 
 
+def parts_of(raw: np.ndarray, off: np.ndarray, limit: int = SIDE_BY_SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the texts, those of more than limit bytes cut into parts (at white space in a part's second half, or
+    else between characters), and the text that each part is of."""
+    if np.diff(off).max(initial=0) <= limit:
+        return off, np.arange(len(off) - 1)
+    cuts, owner = [0], []
+    for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        while z - a > limit:
+            space = np.flatnonzero(_SPACE[raw[a + limit // 2 : a + limit]])
+            cut = a + limit // 2 + int(space[-1]) if len(space) else a + limit
+            while cut > a + 4 and raw[cut] & 0xC0 == 0x80:
+                cut -= 1
+            cuts.append(cut)
+            owner.append(i)
+            a = cut
+        cuts.append(z)
+        owner.append(i)
+    return np.array(cuts), np.array(owner)
+
+
 def predict(field: Field, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's language (its number), that language's part of the words with letters, and how surely these are
-    labelled: the mean of each one's largest marginal; -1, 0 and 0 without any."""
-    got, words = label_words(field, raw, off)
-    got[~words.letters[words.which]] = 0
-    sums = np.zeros((len(got) + 1, got.shape[1]))
-    np.cumsum(got, axis=0, out=sums[1:])
-    largest = np.concatenate([[0], np.cumsum(got.max(axis=1))])
-    mass = sums[words.before[1:]] - sums[words.before[:-1]]
+    labelled: the mean of each one's largest marginal; -1, 0 and 0 without any.
+
+    Parts of about equal length are labelled together, so that few steps have few texts beside each other."""
+    cut, owner = parts_of(raw, off)
+    size = np.diff(cut)
+    mass, largest = np.zeros((len(off) - 1, len(field.languages))), np.zeros(len(off) - 1)
+    order = np.argsort(size, kind="stable")
+    ends = np.cumsum(size[order])
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[order[lo]] + SIDE_BY_SIDE, "right")))
+        some = order[lo:hi]
+        part = np.concatenate([raw[cut[i] : cut[i + 1]] for i in some.tolist()])
+        got, words = label_words(field, part, np.concatenate([[0], np.cumsum(size[some])]))
+        got[~words.letters[words.which]] = 0
+        has = np.diff(words.before) > 0
+        if has.any():
+            at = words.before[:-1][has]
+            np.add.at(mass, owner[some[has]], np.add.reduceat(got, at, axis=0, dtype=np.float64))
+            np.add.at(largest, owner[some[has]], np.add.reduceat(got.max(axis=1), at, dtype=np.float64))
+        lo = hi
     total = mass.sum(axis=1)
     best = mass.argmax(axis=1)
     share = mass[np.arange(len(mass)), best] / np.maximum(total, 1e-9)
-    sure = (largest[words.before[1:]] - largest[words.before[:-1]]) / np.maximum(total, 1e-9)
+    sure = largest / np.maximum(total, 1e-9)
     return np.where(total > 1e-9, best, -1), *(np.where(total > 1e-9, np.clip(x, 0, 1), 0.0) for x in (share, sure))
 
 
@@ -271,18 +313,40 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def phrases_of(text: str, most: int = SAMPLE_PHRASES) -> list[str]:
+    """Phrases of PHRASE words, at most so many (drawn by a hash of the text), each of PHRASE_BYTES bytes at most."""
+    words = text.encode().split()
+    starts = list(range(0, len(words), PHRASE))
+    if len(starts) > most:
+        starts = sorted(random.Random(zlib.crc32(text.encode())).sample(starts, most))
+    return [b" ".join(words[a : a + PHRASE])[:PHRASE_BYTES].decode("utf-8", "ignore") for a in starts]
+
+
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", docs: int = SAMPLE_DOCS) -> Field | None:
-    """A field fitted to a sample of df's rows that aren't held out: of each language (the SAMPLE_LANGUAGES most
-    frequent), the `docs` documents that come first by a hash of their id; so many documents reach the driver, however
-    large df is. Null labels and texts take no part."""
+    """A field fitted to a sample of df's rows that aren't held out: of each language at most `docs` documents, those
+    that come first by a hash of their id and text among the ones below a bound that about twice as many meet (fewer
+    where there are very many languages, see SAMPLE_ALL). Their phrases are cut in the cluster, so what reaches the driver is bounded in bytes, however large
+    df is. Null labels and texts take no part; rows equal in id, text and label count once. None without any."""
     rows = df.filter(~held_out(key) & F.col(label).isNotNull() & F.col(text).isNotNull())
-    known = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(SAMPLE_LANGUAGES).select(label)
-    first = Window.partitionBy("language").orderBy("h", "id")
-    ids = rows.join(F.broadcast(known), label, "left_semi").select(F.col(label).alias("language"), F.col(key).alias("id"), F.xxhash64(key).alias("h"))
-    ids = ids.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= docs).select("language", "id")
-    sample = rows.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(label).alias("language")).join(F.broadcast(ids), ["language", "id"], "left_semi")
-    got = sorted((r["language"], r["id"], r["t"]) for r in sample.collect())
-    return fit([t for _, _, t in got], [x for x, _, _ in got])
+    rows = rows.select(F.col(label).alias("language"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
+    counts, path = stage(rows.groupBy("language").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    most = max(1, min(docs, SAMPLE_ALL // max(1, languages)))
+    first = Window.partitionBy("language").orderBy("h")
+    part = F.shiftrightunsigned("h", 11) * F.lit(2.0**-53)
+    few = rows.select("language", "h").join(maybe_broadcast(counts, 64, languages), "language").filter(part * F.col("n") < 2 * most + 8).select("language", "h").distinct()
+    picked = few.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= most).select("language", "h")
+    sample = rows.join(maybe_broadcast(picked, 64, most * languages), ["language", "h"], "left_semi").groupBy("language", "h").agg(F.first("t").alias("t"))
+
+    def cut(batches):
+        for b in batches:
+            for language, h, t in zip(*(b.column(c).to_pylist() for c in ("language", "h", "t")), strict=True):
+                if own := phrases_of(t):
+                    yield pa.record_batch([pa.array([language]), pa.array([h], pa.int64()), pa.array([own])], names=["language", "h", "phrases"])
+
+    got = sorted((r["language"], r["h"], r["phrases"]) for r in sample.mapInArrow(cut, "language string, h long, phrases array<string>").collect())
+    drop(df.sparkSession, path)
+    return fit([p for _, _, own in got for p in own], [x for x, _, own in got for _ in own])
 
 
 def identify(df: DataFrame, field: Field | None, text: str = "text", sure: str | None = None) -> DataFrame:
@@ -295,37 +359,34 @@ def identify(df: DataFrame, field: Field | None, text: str = "text", sure: str |
     spark = tuned(df.sparkSession)
     sent = spark.sparkContext.broadcast(field)
 
-    @F.pandas_udf("language string, score double, sure double")
-    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<language:string,score:double,sure:double>")
+    def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            batch = pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"])
-            names, scores, sures = [], [], []
-            for part, raw, off in chunks(iter([batch]), limit=SIDE_BY_SIDE):
-                if sent.value is None:
-                    names += ["und"] * part.num_rows
-                    scores += [0.0] * part.num_rows
-                    sures += [0.0] * part.num_rows
-                    continue
-                which, share, certainty = predict(sent.value, raw, off)
-                names += [sent.value.languages[w] if w >= 0 else "und" for w in which.tolist()]
-                scores += share.tolist()
-                sures += certainty.tolist()
-            yield pd.DataFrame({"language": names, "score": scores, "sure": sures})
+            lean()
+            raw, off = utf8(t)
+            names, score, certainty = np.full(len(t), "und", object), np.zeros(len(t)), np.zeros(len(t))
+            if sent.value is not None:
+                which, score, certainty = predict(sent.value, raw, off)
+                names = np.append(np.array(sent.value.languages, object), "und")[which]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(certainty)], names=["language", "score", "sure"])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = df.withColumn("__guess", guess(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumns({"lang_pred": F.when(letters, F.col("__guess.language")).otherwise("und"), "score": F.when(letters, F.col("__guess.score")).otherwise(0.0)})
+    (made,) = unused(df, "__guess")
+    out = df.withColumn(made, guess(F.coalesce(F.col(text), F.lit(""))))
+    names = {"lang_pred": F.when(letters, F.col(made)["language"]).otherwise("und"), "score": F.when(letters, F.col(made)["score"]).otherwise(0.0)}
     if sure:
-        out = out.withColumn(sure, F.when(letters, F.col("__guess.sure")).otherwise(0.0))
-    return out.drop("__guess")
+        names[sure] = F.when(letters, F.col(made)["sure"]).otherwise(0.0)
+    return out.withColumns(names).drop(made)
 
 
 def identified(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", least: float = 0.4) -> DataFrame:
     """df without the rows whose language can't be told: `und`, or words whose largest marginals have a mean below
-    least. Text of several languages stays if its words are labelled surely, however small each language's share."""
-    found = identify(df, train(df, key, text, label), text, "__sure")
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("__sure") >= least))
-    return kept.select(*df.columns)
+    least. Text of several languages stays if its words are labelled surely, however small each language's share. Null
+    and empty texts go, repeated rows each for itself; all columns pass. No rows give none."""
+    text_in, sure = unused(df, "__text", "__sure")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias(text_in))
+    found = identify(rows, train(df, key, text, label), text_in, sure)
+    return found.filter((F.col("lang_pred") != "und") & (F.col(sure) >= least)).select("row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

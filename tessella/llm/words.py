@@ -14,16 +14,21 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps, at most; texts that need more make them anew.
+KEPT_POWERS = 1 << 20
+#: Bytes whose words are hashed in one step.
+STEP_BYTES = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     if (got := _powers.get(base)) is None or len(got) < n:
-        size = max(n, 1 << 16)
-        out = np.full(size, base, np.uint64)
+        out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
+        if n > KEPT_POWERS:
+            return out[:n]
         got = _powers[base] = out
     return got[:n]
 
@@ -74,7 +79,15 @@ def bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and how many words stand before each text."""
     start, end, before = bounds(raw, off)
-    return run(prefix(raw, lower), start, end), before
+    if len(raw) <= STEP_BYTES:
+        return run(prefix(raw, lower), start, end), before
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        z = max(a + 1, int(np.searchsorted(end, start[a] + STEP_BYTES, "right")))
+        lo = start[a]
+        out[a:z] = run(prefix(raw[lo : end[z - 1]], lower), start[a:z] - lo, end[a:z] - lo)
+        a = z
+    return out, before
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
