@@ -16,15 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, maybe_broadcast, stage
+from .common import id_in, id_out, maybe_broadcast, stage, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 2048
-#: Slots or shuffle buckets that one window sorts; both numbers are constants, so windows stay small as slots grow.
+#: Slots that one window sorts, and documents of a source that one does, about: the number of shuffle buckets follows
+#: from the documents of the largest source, so windows stay small as slots and documents grow.
 SLOT_CHUNK = 1 << 14
-BUCKETS = 256
+BUCKET_ROWS = 4096
 CELLS = 4096
 GOLDEN = 0.6180339887498949
 
@@ -35,7 +36,7 @@ def words_in(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Of a table (k: source or null, size): k, source_size, weight, target.
+    """Of a table (k: source or null, size): k, source_size, docs (rows with a size), weight, target.
 
     Weights go round by the sources' code-point order, null last. Targets share `share` of all sizes by weight, but
     stop at cap times the source's size; resharing the excess by weight until none is above ends where one level,
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     first, so prefix sums over the sources (a table of one row a source) give the level at once.
     """
     one = Window.orderBy(F.col("k").asc_nulls_last())
-    per = sizes.groupBy("k").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("k").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs"))
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(one) - 1) % len(weights) + 1))
     per = per.withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
     everything = Window.partitionBy()
@@ -52,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     per = per.withColumn("level", (F.col("goal") - cap * F.col("size_before")) / (F.col("all_weight") - F.col("weight_before")))
     # the level of the first source that doesn't stop is the level of all the others
     per = per.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(everything)["level"])
-    return per.select("k", "source_size", "weight", F.least(cap * F.col("source_size").cast("double"), F.coalesce(F.col("level") * F.col("weight"), cap * F.col("source_size").cast("double"))).alias("target"))
+    return per.select("k", "source_size", "docs", "weight", F.least(cap * F.col("source_size").cast("double"), F.coalesce(F.col("level") * F.col("weight"), cap * F.col("source_size").cast("double"))).alias("target"))
 
 
 def _offsets(rows: DataFrame, group: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
@@ -72,7 +73,7 @@ def mix_plan(narrow: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -
     src = source_targets(narrow.select("k", "size"))
     numbered = Window.orderBy(F.col("k").asc_nulls_last())
     cum = F.sum("target").over(numbered.rowsBetween(Window.unboundedPreceding, 0)) / F.greatest(F.sum("target").over(Window.partitionBy()), F.lit(1e-9))
-    src = src.select((F.row_number().over(numbered) - 1).alias("s"), "k", "source_size", "target", cum.alias("hi"), F.round("target").cast("long").alias("quota"))
+    src = src.select((F.row_number().over(numbered) - 1).alias("s"), "k", "source_size", "docs", "target", cum.alias("hi"), F.round("target").cast("long").alias("quota"))
     src = src.withColumn("lo", F.coalesce(F.lag("hi").over(numbered), F.lit(0.0)))
     src = src.withColumn("hi", F.when(F.lead("hi").over(numbered).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
     src = src.withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
@@ -99,7 +100,9 @@ def mix_plan(narrow: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7) -
     # each source's shuffled stream: a document covers the words [at, at + size)
     docs = narrow.withColumn("key", _key(F.col("k"))).join(src.select("s", _key(F.col("k")).alias("key")), "key").drop("key")
     hashed = F.xxhash64(F.lit(seed), F.col("id"))
-    docs = docs.filter("size > 0").withColumns({"h": hashed, "bucket": F.shiftrightunsigned(hashed, 56)})
+    largest = src.agg(F.max("docs")).first()[0] or 0
+    bits = max(1, -(-int(largest) // BUCKET_ROWS)).bit_length()
+    docs = docs.filter("size > 0").withColumns({"h": hashed, "bucket": F.shiftrightunsigned(hashed, 64 - bits)})
     docs = _offsets(docs, ["s"], "bucket", ["h", "id", "size"], "size", "at").select("id", "s", "k", "size", "at")
     parts = docs.withColumn("block", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")))
     words = F.least(F.col("at") + F.col("size"), F.col("to")) - F.greatest("at", "from")
@@ -139,14 +142,16 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
     """df's rows as often as the mix takes them: taken words over size, rounded (none, one or two times). Documents
-    without words are never taken. Columns are df's."""
+    without words, null texts too, are never taken; a null source is a source, a null id an id. Rows equal in id, source
+    and size are taken equally often. Columns are df's, whatever their names. No rows give none."""
     narrow, _, taken = _taken(df, key, text, source, block_words)
     many = narrow.groupBy("id", _key(F.col("k")).alias("key"), "size").agg(F.count("*").alias("copies"))
     times = taken.join(many, ["id", "key", "size"]).withColumn("times", F.floor(F.col("all_taken") / (F.col("copies") * F.col("size")) + 0.5).cast("int")).filter("times > 0")
-    times, _ = stage(times.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("times").alias("__times")), "mix-times")
-    rows = df.withColumns({"__id": id_in(key), "__key": _key(F.col(source)), "__size": words_in(F.col(text))})
-    rows = rows.join(maybe_broadcast(times, 64), ["__id", "__key", "__size"])
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*df.columns)
+    at, of, words, again, copy = unused(df, "__id", "__key", "__size", "__times", "__copy")
+    times, _ = stage(times.select(F.col("id").alias(at), F.col("key").alias(of), F.col("size").alias(words), F.col("times").alias(again)), "mix-times")
+    rows = df.withColumns({at: id_in(key), of: _key(F.col(source)), words: words_in(F.col(text))})
+    rows = rows.join(maybe_broadcast(times, 64), [at, of, words])
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(again)))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
