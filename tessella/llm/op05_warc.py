@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_in, id_out, maybe_broadcast, shared_path, stage, tuned
+from .common import NULL_ID, drop, id_in, id_out, maybe_broadcast, shared_path, stage, tuned
 from .files import new_file, open_stream
 
 CHUNK = 1 << 16
@@ -117,15 +117,21 @@ def write_archives(df: DataFrame, key: str = "page_id", url: str = "url", payloa
     """Writes one archive for each partition of df, and returns the manifest: archive, records.
 
     A null payload is empty. Of equal payloads of at least `least` bytes, the rows with the smallest id are responses
-    and the others revisits of it; null ids come first. A null url is about:blank. No rows make no archive.
+    and the others revisits of it; null ids come first. Rows that repeat an id are records each; where they repeat the
+    smallest id and its payload, all of them are responses. A null url is about:blank. No rows make no archive.
+
+    Who comes first is settled on digests alone; a payload then meets its verdict by its own id and digest, so that no
+    task gets all payloads of one digest (the empty page's).
     """
     spark = tuned(df.sparkSession)
     folder = folder or shared_path(spark, "warc")
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(id_in(key).alias("page"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    same = rows.select("page", "sha", F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.min("page").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    same, _ = stage(same, "warc-same")
-    rows = rows.join(maybe_broadcast(same, 64), "sha", "left")
+    names = rows.filter(F.octet_length("payload") >= least).select("page", "sha")
+    same, same_path = stage(names.groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first"), "warc-same")
+    again, _ = stage(names.join(maybe_broadcast(same, 64), "sha").filter("page <> first").distinct(), "warc-again")
+    drop(spark, same_path)
+    rows = rows.join(maybe_broadcast(again, 72), ["page", "sha"], "left")
 
     def write(batches):
         n, number = 0, TaskContext.get().partitionId()
@@ -135,7 +141,7 @@ def write_archives(df: DataFrame, key: str = "page_id", url: str = "url", payloa
         with new_file(folder, f"part{number:06d}.warc.gz") as (out, path):
             while batch is not None:
                 for page, at, data, sha, first in zip(*(batch.column(c).to_pylist() for c in ("page", "url", "payload", "sha", "first")), strict=True):
-                    again = first is not None and first != page
+                    again = first is not None
                     real = lambda x: None if x == NULL_ID else x
                     out.write(page_record(real(page), at, data, base64.b32encode(sha).decode(), real(first), again))
                     n += 1
@@ -148,7 +154,8 @@ def write_archives(df: DataFrame, key: str = "page_id", url: str = "url", payloa
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of all archives that a manifest names: page_id, url, record_type, refers_to, payload_digest,
-    payload_bytes, and with payloads the payload (null for a revisit). An archive is one task's work."""
+    payload_bytes, and with payloads the payload (null for a revisit). An archive is one task's work. A page without an
+    id has null; repeated ids come as often as they were written; no archives give no rows."""
     count = max(1, manifest.count())
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads
 
@@ -186,4 +193,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_warc": op5_warc}
-__all__ = ["QUERIES", "Record", "encode_record", "id_out", "page_record", "read_archives", "read_records", "write_archives"]
+
+SQL = {
+    "op5_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS x FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM h)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+}
+__all__ = ["QUERIES", "SQL", "Record", "encode_record", "id_out", "page_record", "read_archives", "read_records", "write_archives"]
