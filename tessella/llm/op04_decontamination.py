@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, id_in, id_out, int64, maybe_broadcast, stage, tuned, utf8
+from .common import chunks, id_in, id_out, int64, maybe_broadcast, stage, tuned, unused, utf8
 
 Q = 8
 #: Edits allowed, as a part of an item's length.
@@ -94,10 +94,8 @@ class Items:
         self.code, self.start, self.many = np.unique(code[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.slot(self.code)] = True
-        self.short = {}
-        for i, t in enumerate(self.texts):
-            if 0 < len(t) < self.q:
-                self.short.setdefault(t, []).append(i)
+        # too short for a q-gram: by length, their bytes as numbers
+        self.short = {m: np.array(sorted((int.from_bytes(t, "little"), i) for i, t in enumerate(self.texts) if len(t) == m), np.uint64).reshape(-1, 2) for m in range(1, self.q)}
 
     @staticmethod
     def slot(code: np.ndarray) -> np.ndarray:
@@ -192,14 +190,36 @@ def matches(items: Items, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, i
                 if new < best.get((d, i), (1 << 60, 0, 0)):
                     best[d, i] = new
     out = [(d, i, e, int(origin[a] - off[d]), int(origin[z - 1] + 1 - off[d])) for (d, i), (e, a, z) in best.items()]
-    if items.short:
-        size = np.diff(begin) - 1
-        for d in np.flatnonzero((size > 0) & (size < items.q)).tolist():
-            own = data[begin[d] : begin[d + 1] - 1].tobytes()
-            out += [(d, i, 0, int(origin[begin[d]] - off[d]), int(origin[begin[d] + size[d] - 1] + 1 - off[d])) for i in items.short.get(own, ())]
+    out += short_matches(items, data, begin, code, origin, off)
     return sorted(out)
 
 
+def short_matches(items: Items, data: np.ndarray, begin: np.ndarray, code: np.ndarray, origin: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """As matches, of items of less than q bytes: where a text has them as whole words, without edits."""
+    out: list[tuple[int, int, int, int, int]] = []
+    if not any(len(x) for x in items.short.values()):
+        return out
+    edge = (data == 0) | (data == 0x20)
+    first = np.flatnonzero(edge[:-1] & ~edge[1:]) + 1
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    for m, known in items.short.items():
+        if not len(known):
+            continue
+        at = first[first + m < len(data)]
+        at = at[edge[at + m]]
+        here = windows8(padded)[at] & np.uint64((1 << (8 * m)) - 1)
+        lo, hi = np.searchsorted(known[:, 0], here, "left"), np.searchsorted(known[:, 0], here, "right")
+        seen = set()
+        for k in np.flatnonzero(lo < hi).tolist():
+            a = int(at[k])
+            d = int(np.searchsorted(begin, a, "right")) - 1
+            for i in known[lo[k] : hi[k], 1].tolist():
+                if (d, i) not in seen:
+                    seen.add((d, i))
+                    out.append((d, int(i), 0, int(origin[a] - off[d]), int(origin[a + m - 1] + 1 - off[d])))
+    return out
+
+
 def _fold_texts(texts: list[str | None]) -> list[bytes]:
     raw, off = utf8(pa.array([t or "" for t in texts], pa.string()))
     data, begin, _ = folded(raw, off)
@@ -210,15 +230,22 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """One row for each document and item that it holds: doc_id, item_id, edits, start_byte, end_byte.
 
     An item may differ by a tenth of its length in edits (never so many that the lemma asks for no q-gram). Items of
-    less than 8 bytes, folded, match documents that are nothing else. Null or blank items and texts match nothing.
-    Null ids are ids like others. Rows that repeat an id are each reported. No documents or no items give no rows.
+    less than 8 bytes, folded, have no q-gram: they match where a text has them, exactly, as whole words. Null or blank
+    items and texts match nothing. Null ids are ids like others. Rows that repeat an id are each reported. No documents
+    or no items give no rows.
     """
+    out = _found(df, benchmark, key, text, item_key, item_text, edits)
+    return out.select(id_out("id").alias("doc_id"), id_out("item").alias("item_id"), "edits", "start_byte", "end_byte")
+
+
+def _found(df: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: str, item_text: str, edits: float) -> DataFrame:
+    """As contaminated, by id and a hash of the text: id, hash, item, edits, start_byte, end_byte."""
     spark = tuned(df.sparkSession)
-    docs = df.select(id_in(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.select(id_in(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     asked = benchmark.select(id_in(item_key).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = asked.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    schema = "id long, item long, edits int, start_byte int, end_byte int"
+    schema = "id long, hash long, item long, edits int, start_byte int, end_byte int"
     out = None
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()
@@ -229,17 +256,21 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             for batch, raw, off in chunks(batches):
                 if got := matches(items, raw, off):
                     d, i, e, lo, hi = (np.array(x) for x in zip(*got, strict=True))
-                    yield pa.record_batch([pa.array(int64(batch.column("id"))[d]), pa.array(items.ids[i]), pa.array(e, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["id", "item", "edits", "start_byte", "end_byte"])
+                    yield pa.record_batch([pa.array(int64(batch.column("id"))[d]), pa.array(int64(batch.column("hash"))[d]), pa.array(items.ids[i]), pa.array(e, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["id", "hash", "item", "edits", "start_byte", "end_byte"])
 
         part = docs.mapInArrow(find, schema)
         out = part if out is None else out.unionByName(part)
-    return out.select(id_out("id").alias("doc_id"), id_out("item").alias("item_id"), "edits", "start_byte", "end_byte")
+    return out
 
 
 def without_contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the documents that hold an item."""
-    found, _ = stage(contaminated(df, benchmark, key, text).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__gone")).distinct(), "contaminated")
-    return df.withColumn("__id", id_in(key)).join(maybe_broadcast(found, 16), F.col("__id") == F.col("__gone"), "left_anti").drop("__id")
+    """df without the documents that hold an item. Of rows that repeat an id those go whose own text holds one; null and
+    blank texts stay, and so does everything if there are no items. All columns pass. No rows give none."""
+    at, of, i, h = unused(df, "__gone", "__hash", "__id", "__own")
+    found = _found(df, benchmark, key, text, "item_id", "text", EDITS).select(F.col("id").alias(at), F.col("hash").alias(of)).distinct()
+    found, _ = stage(found, "contaminated")
+    rows = df.withColumns({i: id_in(key), h: F.xxhash64(F.col(text))})
+    return rows.join(maybe_broadcast(found, 24), (F.col(i) == F.col(at)) & (F.col(h) == F.col(of)), "left_anti").drop(i, h)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
