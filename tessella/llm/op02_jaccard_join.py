@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, drop, id_in, id_out, int64, maybe_broadcast, partitions, stage, tuned
+from .common import chunks, drop, id_in, id_out, int64, maybe_broadcast, stage, tuned, unused
 from .components import components
 from .words import grams, mix, word_hashes
 
@@ -37,6 +37,10 @@ PERCENT = 80
 BIN = 1.02
 #: Candidate pairs that go through the fragments together.
 PAIR_CHUNK = 16_384
+#: Bytes of text, or of sets of n-grams, that one fragment gets, about: their number follows from the data.
+FRAGMENT_BYTES = 16 << 20
+#: Sets in one cell of an n-gram's pairs; a longer list is cut in blocks, and each two blocks make a cell.
+LIST = 512
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +98,9 @@ class Fragments:
                 yield f, owner[a:z][new], np.diff(np.append(new, z - a)).astype(np.int32), sets[a:z]
 
 
-def _bits(spark: SparkSession) -> int:
-    return min(24, max(4, int(np.ceil(np.log2(partitions(spark))))))
+def _bits(size: int) -> int:
+    """Bits of the fragments' numbers, for so many bytes in all."""
+    return min(24, max(3, int(np.ceil(np.log2(max(1, size / FRAGMENT_BYTES))))))
 
 
 def _chunk_ids():
@@ -120,13 +125,13 @@ def _arrays(column: pd.Series, kind) -> list[np.ndarray]:
 
 
 def shared_counts(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """Of docs (id, text): id, n (set size), key (of the set), m (how many of its n-grams another set has too).
+    """Of docs (id, hash, text): id, hash, n (set size), key (of the set), m (how many of its n-grams another set has
+    too).
 
     N-grams are told apart within a fragment by their next 32 bits, so m may be too large by chance (in about one of
     4 billion comparisons times a fragment's n-grams), never too small.
     """
-    spark = docs.sparkSession
-    fragments = Fragments(_bits(spark))
+    fragments = Fragments(_bits(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]))
     shift = np.uint64(32 - fragments.bits)
 
     def send(batches):
@@ -134,7 +139,7 @@ def shared_counts(docs: DataFrame, k: int = WORDS) -> DataFrame:
         for batch, raw, off in chunks(batches):
             sets, cut = shingle_sets(raw, off, k)
             key, chunk = set_keys(sets, cut), next(number)
-            rows = [(chunk % fragments.count, chunk, ABOUT, int64(batch.column("id")).tobytes(), np.diff(cut).astype(np.int64).tobytes(), key.tobytes(), b"")]
+            rows = [(chunk % fragments.count, chunk, ABOUT, int64(batch.column("id")).tobytes(), np.diff(cut).astype(np.int64).tobytes(), key.tobytes(), int64(batch.column("hash")).tobytes())]
             for f, owner, size, piece in fragments.cut(sets, cut):
                 rows.append((f, chunk, PIECES, owner.tobytes(), size.tobytes(), key[owner].tobytes(), (piece >> shift).astype(np.uint32).tobytes()))
             yield _batch(rows, _PIECE)
@@ -142,7 +147,7 @@ def shared_counts(docs: DataFrame, k: int = WORDS) -> DataFrame:
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         about = pdf[pdf["kind"] == ABOUT]
         pdf = pdf[pdf["kind"] == PIECES].sort_values("chunk", kind="stable")
-        out = [about[["chunk", "kind", "x", "y", "z"]]]
+        out = [about[["chunk", "kind", "x", "y", "z", "w"]]]
         if len(pdf):
             size = np.concatenate(_arrays(pdf["y"], np.int32))
             key = np.concatenate(_arrays(pdf["z"], np.uint64))
@@ -157,7 +162,7 @@ def shared_counts(docs: DataFrame, k: int = WORDS) -> DataFrame:
             per = np.add.reduceat(hit, np.cumsum(size) - size).astype(np.int32)
             lengths = pdf["x"].map(len).to_numpy() // 4
             cuts = np.concatenate([[0], np.cumsum(lengths)])
-            out.append(pd.DataFrame({"chunk": pdf["chunk"], "kind": PIECES, "x": pdf["x"], "y": [per[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], "z": b""}))
+            out.append(pd.DataFrame({"chunk": pdf["chunk"], "kind": PIECES, "x": pdf["x"], "y": [per[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], "z": b"", "w": b""}))
         return pd.concat(out)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,10 +172,10 @@ def shared_counts(docs: DataFrame, k: int = WORDS) -> DataFrame:
         pdf = pdf[pdf["kind"] == PIECES]
         for x, y in zip(pdf["x"], pdf["y"], strict=True):
             m[np.frombuffer(x, np.int32)] += np.frombuffer(y, np.int32)
-        return pd.DataFrame({"id": ids, "n": np.frombuffer(about["y"], np.int64), "key": np.frombuffer(about["z"], np.int64), "m": m})
+        return pd.DataFrame({"id": ids, "hash": np.frombuffer(about["w"], np.int64), "n": np.frombuffer(about["y"], np.int64), "key": np.frombuffer(about["z"], np.int64), "m": m})
 
-    counted = docs.mapInArrow(send, _PIECE_SQL).groupBy("fragment").applyInPandas(count, "chunk long, kind int, x binary, y binary, z binary")
-    return counted.groupBy("chunk").applyInPandas(total, "id long, n long, key long, m long")
+    counted = docs.mapInArrow(send, _PIECE_SQL).groupBy("fragment").applyInPandas(count, "chunk long, kind int, x binary, y binary, z binary, w binary")
+    return counted.groupBy("chunk").applyInPandas(total, "id long, hash long, n long, key long, m long")
 
 
 def size_bin(n: np.ndarray) -> np.ndarray:
@@ -189,6 +194,10 @@ def overlap_needed(n: np.ndarray, bin_: np.ndarray, percent: int) -> np.ndarray:
     return np.ceil(np.maximum(percent * n / 100, percent / (100 + percent) * (n + other)) - 1e-6).astype(np.int64)
 
 
+def _set_bytes(sets: DataFrame) -> int:
+    return int(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 8
+
+
 def heads(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of sets (key, n, grams): gram, key, n, weight for those n-grams by which similar sets must meet.
 
@@ -197,7 +206,7 @@ def heads(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     than o the set has no partner there. gram is a hash of the n-gram and both bins; weight is larger for sets of
     frequent n-grams, which stand in the middle of their group.
     """
-    fragments = Fragments(_bits(sets.sparkSession))
+    fragments = Fragments(_bits(_set_bytes(sets)))
     apart = bins_apart(percent)
 
     def send(batches):
@@ -273,8 +282,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
     Each fragment counts the partial overlaps of all pairs on its pieces; the counts of a pair are summed.
     """
-    spark = pairs.sparkSession
-    fragments = Fragments(max(3, _bits(spark) - 2))
+    fragments = Fragments(_bits(_set_bytes(sets)))
 
     def pieces(batches):
         for b in batches:
@@ -358,16 +366,21 @@ def cross_pairs(head: DataFrame, labels: DataFrame, percent: int = PERCENT) -> D
     """All pairs of sets of different components that share an n-gram in their heads."""
     named = head.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named, _ = stage(named, "heads-named")
-    mixed = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
+    mixed = named.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / LIST).alias("blocks")).filter("lo < hi").select("gram", "blocks")
     mixed, _ = stage(mixed, "heads-mixed")
-    rows = named.join(maybe_broadcast(mixed, 16), "gram").repartition("gram").sortWithinPartitions("gram")
+    rows = named.join(maybe_broadcast(mixed, 24), "gram").withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    rows = rows.select("gram", "x", "y", "key", "n", "component", "own").repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y")
 
     def pairs(batches):
         seen: dict[bytes, None] = {}
-        for key, n, label in _lists(batches):
+        for inner, key, n, label, own in _lists(batches):
             for lo in range(0, len(key), 256):
                 i = slice(lo, lo + 256)
                 ok = (label[i, None] != label[None]) & (key[i, None] < key[None])
+                if not inner:
+                    ok &= own[i, None] != own[None]
                 ok &= 100 * np.minimum(n[i, None], n[None]) >= percent * np.maximum(n[i, None], n[None])
                 a, b = np.nonzero(ok)
                 if len(a):
@@ -379,7 +392,7 @@ def cross_pairs(head: DataFrame, labels: DataFrame, percent: int = PERCENT) -> D
         if seen:
             yield _pair_batch(seen)
 
-    return rows.select("gram", "key", "n", "component").mapInArrow(pairs, "a long, an long, b long, bn long").distinct()
+    return rows.mapInArrow(pairs, "a long, an long, b long, bn long").distinct()
 
 
 def _pair_batch(seen: dict) -> pa.RecordBatch:
@@ -387,19 +400,25 @@ def _pair_batch(seen: dict) -> pa.RecordBatch:
 
 
 def _lists(batches):
-    """key, n, component arrays of each n-gram; rows come sorted by n-gram."""
+    """Of each cell (an n-gram and two blocks of its sets): whether the blocks are one, and key, n, component, own
+    arrays; rows come sorted by cell."""
     last, held = None, []
+
+    def cell():
+        return last[1] == last[2], *(np.concatenate(x) for x in zip(*held, strict=True))
+
     for b in batches:
-        g, *rest = (int64(b.column(c)) for c in ("gram", "key", "n", "component"))
-        cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else []
+        *at, key, n, component, own = (int64(b.column(c)) for c in ("gram", "x", "y", "key", "n", "component", "own"))
+        cut = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in at], axis=0), True]) if len(key) else []
         for a, z in zip(cut[:-1], cut[1:], strict=True):
-            if g[a] != last:
+            name = tuple(int(c[a]) for c in at)
+            if name != last:
                 if held:
-                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                last, held = g[a], []
-            held.append([x[a:z] for x in rest])
+                    yield cell()
+                last, held = name, []
+            held.append([x[a:z] for x in (key, n, component, own)])
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield cell()
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -407,10 +426,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
 
     Sets are linked when their overlap is at least percent of their union. A null or blank text has no shingles, no
     links and its own id as component; a null id counts as less than all others and is null in the result. Rows that
-    repeat an id and a text are equal sets, so linked. No rows give none. Other columns are not read.
+    repeat an id and a text are equal sets, so linked. A text of any length is read whole. No rows give none. Other
+    columns are not read.
     """
+    out = _components(df, key, text, k, percent)
+    return out.select(id_out("id").alias("doc_id"), "n_shingles", id_out("component_id").alias("component_id"))
+
+
+def _components(df: DataFrame, key: str, text: str, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """As jaccard_components: id, hash (of the text), n_shingles, component_id."""
     spark = tuned(df.sparkSession)
-    docs = df.select(id_in(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.select(id_in(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counted, _ = stage(shared_counts(docs, k), "set-sizes")
     live = counted.filter((F.col("n") > 0) & (100 * F.col("m") >= percent * F.col("n"))).groupBy("key").agg(F.min("id").alias("id"))
     live, live_path = stage(live, "sets-live")
@@ -446,17 +472,33 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     grouped = groups.join(named, "component").join(many.withColumn("copied", F.lit(True)), "key", "left").filter("sets > 1 OR copied").select("key", "component_id")
     grouped, _ = stage(grouped, "set-components")
     out = counted.join(maybe_broadcast(grouped, 24), "key", "left")
-    return out.select(id_out("id").alias("doc_id"), F.col("n").alias("n_shingles"), id_out(F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select("id", "hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group of similar documents: that with the least id (of rows that repeat it, one).
+    """df with one row of each group of similar documents: that with the least id; of rows that repeat it, that whose
+    text has the least hash, and one of rows that are equal in both.
 
-    Documents without shingles stay, each for itself, as they are linked with nothing.
+    Documents without shingles, null texts too, stay, each for itself, as they are linked with nothing. All columns
+    pass. No rows give none.
     """
-    found = jaccard_components(df, key, text).filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__gone")).distinct()
-    found, _ = stage(found, "near-copies")
-    return df.withColumn("__id", id_in(key)).join(maybe_broadcast(found, 16), F.col("__id") == F.col("__gone"), "left_anti").drop("__id")
+    at, of, i, h, nth = unused(df, "__gone", "__hash", "__id", "__own", "__nth")
+    found, _ = stage(_components(df, key, text).filter("n_shingles > 0"), "similar-rows")
+    least = found.filter("id = component_id").groupBy("component_id").agg(F.min("hash").alias("least"), F.count("*").alias("rows"))
+    several, _ = stage(least.filter("rows > 1"), "repeated-ids")
+    gone = found.filter("id <> component_id").select("id", "hash")
+    repeated = several.count()
+    if repeated:  # a group's least id has several rows, of which one text stays
+        gone = gone.union(found.join(maybe_broadcast(several, 24, repeated), "component_id").filter("id = component_id AND hash <> least").select("id", "hash"))
+    gone, _ = stage(gone.distinct().toDF(at, of), "near-copies")
+    rows = df.withColumns({i: id_in(key), h: F.xxhash64(F.col(text))})
+    out = rows.join(maybe_broadcast(gone, 24), (F.col(i) == F.col(at)) & (F.col(h) == F.col(of)), "left_anti")
+    if repeated:
+        several = several.select(F.col("component_id").alias(at), F.col("least").alias(of))
+        match = (F.col(i) == F.col(at)) & (F.col(h) == F.col(of))
+        some = out.join(maybe_broadcast(several, 24, repeated), match, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(1))))
+        out = out.join(maybe_broadcast(several, 24, repeated), match, "left_anti").unionByName(some.filter(F.col(nth) == 1).drop(nth))
+    return out.drop(i, h)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
