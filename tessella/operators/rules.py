@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessella.functions import scalars as S
 from tessella.operators.provenance import ExclusiveSum, Provenance
 
-#: Random variables that world enumeration takes at most; exact inference beyond is refused, not approximated.
+#: Random variables that stand in one table of joint assignments at most; exact inference beyond is refused, not
+#: approximated.
 MOST_VARIABLES = 6
 
 
@@ -113,15 +114,37 @@ def ground_sum(first: list[Column], second: list[Column], result: Column) -> Col
 def worlds(facts: DataFrame, context: list[str], order: str, variables: int) -> DataFrame:
     """All joint assignments of a bag's variables: context, x0 ..., prob. Refused above MOST_VARIABLES variables."""
     if variables > MOST_VARIABLES:
-        raise ValueError(f"exact inference over {variables} shared variables is refused; {MOST_VARIABLES} at most")
+        raise ValueError(f"all assignments of {variables} variables are refused; {MOST_VARIABLES} at most")
     parts = [(literal(facts.filter(F.col(order) == i), f"x{i}", context), f"x{i}") for i in range(variables)]
     return conjunction(parts, context)
 
 
-def any_sum(facts: DataFrame, context: list[str], order: str, variables: int, pairs: list[tuple[int, int]]) -> DataFrame:
+def elimination_order(variables: int, pairs: list[tuple[int, int]]) -> tuple[list[int], int]:
+    """Variables, those with the fewest neighbours first (eliminated ones' neighbours become neighbours), and the most
+    that one has when its turn comes."""
+    near = {i: set() for i in range(variables)}
+    for i, j in pairs:
+        if i != j:
+            near[i].add(j)
+            near[j].add(i)
+    order, width = [], 0
+    while near:
+        v = min(near, key=lambda x: (len(near[x]), x))
+        own = near.pop(v)
+        width = max(width, len(own))
+        for u in own:
+            near[u] = (near[u] | own) - {u, v}
+        order.append(v)
+    return order, width
+
+
+def any_sum(facts: DataFrame, context: list[str], order: str, variables: int, pairs: list[tuple[int, int]], top: int = S.DIGITS - 1) -> DataFrame:
     """Probability that a pair of the bag has a given sum: context, s, prob.
 
-    If no variable is in two pairs, pairs are independent and noisy-or is exact; else possible worlds are enumerated.
+    If no variable is in two pairs, pairs are independent and noisy-or is exact. Else it is one less the probability
+    that no pair has the sum, which is found by eliminating one variable after another along the graph of the pairs:
+    a chain or a tree of any length costs a table of 19 * 10 * 10 rows a bag and step. What costs is the graph's width
+    (variables that one is tied to when its turn comes); beyond MOST_VARIABLES less one it is refused.
     """
     used = [i for p in pairs for i in p]
     if len(set(used)) == len(used):
@@ -132,9 +155,35 @@ def any_sum(facts: DataFrame, context: list[str], order: str, variables: int, pa
         from tessella.operators.provenance import NoisyOr
 
         return either(rows, [*context, "s"], NoisyOr())
-    joint = worlds(facts, context, order, variables)
-    sums = F.array_distinct(F.array(*[F.col(f"x{i}") + F.col(f"x{j}") for i, j in pairs]))
-    return joint.select(*context, "prob", F.explode(sums).alias("s")).groupBy(*context, "s").agg(F.sum("prob").alias("prob"))
+    sequence, width = elimination_order(variables, pairs)
+    if width >= MOST_VARIABLES:
+        raise ValueError(f"pairs that tie {width + 1} variables together are refused; {MOST_VARIABLES} at most")
+    whole = facts.filter(F.col(order).isin(sorted(set(used)))).groupBy(*context).agg(F.count_distinct(order).alias("n")).filter(F.col("n") == len(set(used)))
+    facts = facts.join(whole.drop("n"), context, "left_semi")
+    sums = F.explode(F.sequence(F.lit(0), F.lit(2 * top))).alias("s")
+    tables = [({i}, facts.filter(F.col(order) == i).select(*context, F.col("value").alias(f"x{i}"), F.col("prob").alias("w"), sums)) for i in range(variables) if i in set(used)]
+    left = {tuple(sorted(p)) for p in pairs}
+    for v in (i for i in sequence if i in set(used)):
+        own = [t for t in tables if v in t[0]]
+        tables = [t for t in tables if v not in t[0]]
+        scope, df = own[0]
+        for more, other in own[1:]:
+            df = df.join(other.withColumnRenamed("w", "w2"), [*context, "s", *(f"x{i}" for i in sorted(scope & more))]).withColumn("w", F.col("w") * F.col("w2")).drop("w2")
+            scope = scope | more
+        for i, j in sorted(p for p in left if v in p):
+            left.discard((i, j))
+            for u in {i, j} - scope:
+                df = df.withColumn(f"x{u}", F.explode(F.sequence(F.lit(0), F.lit(top))))
+                scope = scope | {u}
+            df = df.filter(F.col(f"x{i}") + F.col(f"x{j}") != F.col("s"))
+        scope = scope - {v}
+        tables.append((scope, df.groupBy(*context, "s", *(f"x{i}" for i in sorted(scope))).agg(F.sum("w").alias("w"))))
+    # what is left are numbers a bag and sum: one for each connected part; no row means that none is possible
+    dense = facts.select(*context).distinct().select(*context, sums)
+    for k, (_, df) in enumerate(tables):
+        dense = dense.join(df.withColumnRenamed("w", f"w{k}"), [*context, "s"], "left")
+    none = reduce(lambda a, b: a * b, [F.coalesce(F.col(f"w{k}"), F.lit(0.0)) for k in range(len(tables))])
+    return dense.select(*context, "s", F.greatest(1 - none, F.lit(0.0)).alias("prob")).filter("prob > 0")
 
 
 def gradients(pairs: DataFrame, context: list[str], a: str = "p0", b: str = "p1") -> DataFrame:

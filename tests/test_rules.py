@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessella.operators import facts, rules
 from tessella.operators import provenance as P
+from tessella.operators.program import Program
+from tessella.operators.sensors import ConstantSensor, EdgeSensor, FunctionalSensor, Graph, JointSensor, ModuleLearner, ReaderSensor
 
 
 def distribution(rng, n=10):
@@ -89,9 +91,104 @@ def test_any_sum(spark, n, pairs):
     same(want, got(rules.any_sum(relation(spark, dists), ["ex"], "pos", n, pairs), "s"))
 
 
+@pytest.mark.parametrize("pairs", [[(i, i + 1) for i in range(6)], [(0, i) for i in range(1, 7)], [(0, 1), (1, 2), (2, 0), (3, 4), (5, 5)]])
+def test_any_sum_of_seven_variables_by_elimination(spark, pairs):
+    rng = random.Random(len(pairs))
+    dists = [distribution(rng, 3) for _ in range(7)]
+    want = {}
+    for values, p in worlds(dists):
+        for s in {values[i] + values[j] for i, j in pairs}:
+            want[s] = want.get(s, 0) + p
+    same(want, got(rules.any_sum(relation(spark, dists), ["ex"], "pos", 7, pairs, top=2), "s"))
+
+
 def test_exact_inference_is_bounded(spark):
     with pytest.raises(ValueError):
         rules.worlds(relation(spark, [[1.0]] * 7), ["ex"], "pos", 7)
+    everyone = list(itertools.combinations(range(7), 2))
+    with pytest.raises(ValueError):
+        rules.any_sum(relation(spark, [[1.0]] * 7), ["ex"], "pos", 7, everyone)
+    assert rules.elimination_order(7, everyone)[1] == 6 and rules.elimination_order(9, [(i, i + 1) for i in range(8)])[1] == 1
+
+
+def test_program_text():
+    p = Program("0.25 :: rain; 0.5 :: sun. wet :- rain. t(0.1) :: noisy. % a remark\nmore(X, Y) :- X > Y, Z is X - 2 * (Y + 1), Z =\\= 3.")
+    assert [c.prob for c in p.choices["rain", 0]] == [0.25] and p.choices["rain", 0][0].group == p.choices["sun", 0][0].group
+    assert p.choices["noisy", 0][0].prob == 0.1 and len(p.rules["more", 2][0].body) == 3
+    for bad in ("a(X) :- ", "0.7 :: a; 0.7 :: b.", "0.5 :: a(X) :- b(X).", "a(X :- b.", "a ? b."):
+        with pytest.raises(ValueError):
+            Program(bad)
+    with pytest.raises(ValueError, match="style"):
+        Program("", style="other")
+
+
+def test_program_over_facts(spark):
+    one = spark.range(1).select(F.lit(0).alias("ex"))
+    p = Program("0.3 :: rain. 0.6 :: sprinkler. wet(1) :- rain. wet(1) :- sprinkler. dry(1) :- \\+ rain, \\+ sprinkler. both(1) :- rain, \\+ rain. 0.2 :: die(1); 0.3 :: die(2); 0.5 :: die(3). even(Y) :- die(X), Y is X mod 2.")
+    assert p.query("wet(Z)", one, ["ex"], provenance=P.NoisyOr()).collect()[0]["prob"] == pytest.approx(1 - 0.7 * 0.4)
+    assert p.query("wet(Z)", one, ["ex"]).collect()[0]["prob"] == pytest.approx(1 - 0.7 * 0.4)  # independent branches
+    assert p.query("dry(Z)", one, ["ex"]).collect()[0]["prob"] == pytest.approx(0.28)
+    assert {r["y"]: r["prob"] for r in p.query("even(Y)", one, ["ex"]).collect()} == {1: pytest.approx(0.7), 0: pytest.approx(0.3)}
+    with pytest.raises(ValueError, match="no proof"):
+        p.query("both(Z)", one, ["ex"])
+    with pytest.raises(ValueError, match="no predicate"):
+        p.query("other(Z)", one, ["ex"])
+    with pytest.raises(ValueError, match="doesn't end"):
+        Program("loop(X) :- loop(X).").query("loop(Z)", one, ["ex"])
+
+
+def test_program_against_worlds(spark):
+    """Sums, bags that share an image, lists as numbers, one image twice: all by enumeration."""
+    rng = random.Random(12)
+    dists = [distribution(rng, 4) for _ in range(4)]
+    table = spark.createDataFrame([(i, v, p) for i, d in enumerate(dists) for v, p in enumerate(d)], "id long, value int, prob double")
+    p = Program("sum(X, Y, Z) :- digit(X, A), digit(Y, B), Z is A + B. any(L, Z) :- member([X, Y], L), sum(X, Y, Z). v([], V, V). v([H | T], V, W) :- digit(H, D), U is D + 10 * V, v(T, U, W). v(L, W) :- v(L, 0, W). two(X, Y, Z) :- v(X, A), v(Y, B), Z is A + B. big(X) :- digit(X, A), A >= 2.")
+    p.relation("digit", table, ["id", "value"])
+    bag = spark.range(1).select(F.lit(0).alias("ex"), *[F.lit(i).cast("long").alias(f"i{i}") for i in range(4)])
+    cases = {
+        "sum(I0, I1, Z)": lambda v: {v[0] + v[1]},
+        "sum(I0, I0, Z)": lambda v: {2 * v[0]},
+        "any([[I0, I1], [I1, I2], [I2, I0]], Z)": lambda v: {v[0] + v[1], v[1] + v[2], v[2] + v[0]},
+        "any([[I0, I1], [I2, I3]], Z)": lambda v: {v[0] + v[1], v[2] + v[3]},
+        "v([I2, I1, I0], Z)": lambda v: {100 * v[2] + 10 * v[1] + v[0]},
+        "two([I0, I1], [I2, I3], Z)": lambda v: {10 * v[0] + v[1] + 10 * v[2] + v[3]},
+    }
+    for text, f in cases.items():
+        want = {}
+        for values, q in worlds(dists):
+            for z in f(values):
+                want[z] = want.get(z, 0) + q
+        same(want, got(p.query(text, bag, ["ex"]), "z"))
+    assert p.query("big(I3)", bag, ["ex"]).collect()[0]["prob"] == pytest.approx(sum(dists[3][2:]))
+    # ids that are equal only in the row are one variable
+    twice = bag.withColumn("i1", F.lit(0).cast("long"))
+    assert got(p.query("sum(I0, I1, Z)", twice, ["ex"]), "z") == pytest.approx({2 * k: x for k, x in enumerate(dists[0])})
+    kept = p.query("sum(I0, I1, Z)", bag, ["ex"], cache=True)
+    assert p.query("sum(I0, I1, Z)", bag, ["ex"], cache=True) is kept and p.query("sum(I0, I2, Z)", bag, ["ex"], cache=True) is not kept
+    kept.unpersist()
+    dense = p.query("sum(I0, I1, Z)", bag, ["ex"], output_mapping=list(range(9))).collect()[0]["probs"]
+    assert len(dense) == 9 and sum(dense) == pytest.approx(1) and dense[8] == 0
+
+
+def test_sensors(spark):
+    graph = Graph()
+    image = graph.concept("image", "id")
+    image["twice"] = FunctionalSensor(("pixel",), lambda x: x * 2)
+    image["pixel"] = ReaderSensor("raw")
+    image["one"] = ConstantSensor(1)
+    image["truth"] = ReaderSensor("raw", label=True)
+    image["out"] = ModuleLearner("twice", lambda df, key, x: df.select(key, (F.col(x) + 1).alias("probs")))
+    pair = graph.concept("pair", "ex", JointSensor("image", lambda t: t.filter("id % 2 = 0").select((F.col("id") / 2).cast("long").alias("ex"), F.col("id").alias("first"))))
+    pair["out0"] = EdgeSensor("image", "first", "out")
+    source = {"image": spark.createDataFrame([(i, float(i)) for i in range(6)], "id long, raw double")}
+    made = graph.build(source)
+    assert sorted(map(tuple, made["pair"].select("ex", "out0").collect())) == [(0, 1.0), (1, 5.0), (2, 9.0)]
+    assert "truth" in made["image"].columns and "truth" not in graph.build(source, labels=False)["image"].columns
+    node, plan = graph.forward(source, "image", 3)
+    assert node["twice"] == 6.0 and node["one"] == 1 and plan.count() == 1
+    image["bad"] = FunctionalSensor(("nowhere",), lambda x: x)
+    with pytest.raises(ValueError, match="nothing gives"):
+        graph.build(source)
 
 
 def test_many_digit_sums(spark):
