@@ -78,7 +78,7 @@ def fold(values: Column, operator=lambda a, x: a + x, start: int = 0) -> Column:
     return F.aggregate(values, F.lit(start).cast("long"), operator)
 
 
-def distr_string(counts: Column) -> Column:
+def counts_text(counts: Column) -> Column:
     """An array of counts as `i: n || ...`."""
     return F.array_join(F.transform(counts, lambda x, i: F.concat(i.cast("string"), F.lit(": "), x.cast("string"))), " || ")
 

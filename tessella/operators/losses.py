@@ -57,7 +57,9 @@ def uniform_of(*parts: Column) -> Column:
 def sampled(p0: Column, p1: Column, s: Column, key: Column, samples: int = 100) -> Column:
     """Minus the logarithm of the share of hash-seeded draws that satisfy d0 + d1 = s, with half a draw added on either
     side so that no draw gives no infinity."""
-    hits = F.aggregate(F.sequence(F.lit(1), F.lit(samples)), F.lit(0), lambda a, k: a + F.when(drawn(p0, uniform_of(F.lit("a"), key, k)) + drawn(p1, uniform_of(F.lit("b"), key, k)) == s, 1).otherwise(0))
+    # each draw's number is bound once: drawn() names it in every step over the classes
+    draw = lambda probs, tag, k: S.let(uniform_of(F.lit(tag), key, k), lambda u: drawn(probs, u))
+    hits = F.aggregate(F.sequence(F.lit(1), F.lit(samples)), F.lit(0), lambda a, k: a + F.when(draw(p0, "a", k) + draw(p1, "b", k) == s, 1).otherwise(0))
     return -F.log((hits + 0.5) / (samples + 1.0))
 
 

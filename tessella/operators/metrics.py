@@ -58,3 +58,18 @@ def fact_accuracy(df: DataFrame, prob: str = "prob") -> DataFrame:
 def delta_norm(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Length of the difference of two sets of parameters that stand side by side."""
     return pairs.agg(F.sqrt(F.sum(F.pow(F.col(a) - F.col(b), 2))).alias("norm"))
+
+
+def accuracy_of(predictions: DataFrame) -> float:
+    """A tracker: the share of right predictions (label, pred)."""
+    return float(accuracy(predictions).first()[0] or 0.0)
+
+
+def macro_f1_of(predictions: DataFrame) -> float:
+    """A tracker: the mean of the classes' F1."""
+    return float(report(predictions).agg(F.avg("f1")).first()[0] or 0.0)
+
+
+def confusion_of(predictions: DataFrame) -> dict[tuple[int, int], int]:
+    """A tracker: counts by label and prediction."""
+    return {(r["label"], r["pred"]): r["n"] for r in confusion(predictions).collect()}

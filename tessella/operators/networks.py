@@ -6,6 +6,7 @@ plain arrays by name, as saved by tessella.sources.tables.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,17 +84,31 @@ def plain_cnn(pool: int = 2) -> list[Layer]:
     return [conv2d("conv1"), max_pool(pool), conv2d("conv2"), max_pool(pool), flatten, linear("fc1"), relu, dropout, linear("fc2"), softmax]
 
 
+def lenet_encoder(pool: int = 2) -> list[Layer]:
+    """Two convolutions with pooling and rectifiers, to one vector an image."""
+    return [conv2d("encoder1"), max_pool(pool), relu, conv2d("encoder2"), max_pool(pool), relu, flatten]
+
+
+def lenet_classifier(with_softmax: bool = True, one: bool = False) -> list[Layer]:
+    """Three linear layers; one output ends in a sigmoid."""
+    head = [linear("classifier1"), relu, linear("classifier2"), relu, linear("classifier3")]
+    return head + ([sigmoid] if one else [softmax] if with_softmax else [])
+
+
 def lenet(pool: int = 2, with_softmax: bool = True, one: bool = False) -> list[Layer]:
-    """Two convolutions with pooling and rectifiers as encoder and three linear layers as classifier; one output ends
-    in a sigmoid."""
-    encoder = [conv2d("encoder1"), max_pool(pool), relu, conv2d("encoder2"), max_pool(pool), relu]
-    head = [flatten, linear("classifier1"), relu, linear("classifier2"), relu, linear("classifier3")]
-    return encoder + head + ([sigmoid] if one else [softmax] if with_softmax else [])
+    """Encoder and classifier together."""
+    return lenet_encoder(pool) + lenet_classifier(with_softmax, one)
 
 
 def pair_cnn(pool: int = 2) -> list[Layer]:
-    """Convolutions and a normalised hidden layer, to logits; both images of a pair go through as rows."""
-    return [conv2d("conv1"), max_pool(pool), relu, conv2d("conv2"), max_pool(pool), relu, dropout, flatten, linear("fc1"), layer_norm("norm"), relu, linear("fc2")]
+    """Convolutions, the flattened values normalised, a hidden layer, to logits; both images of a pair go through as
+    rows."""
+    return [conv2d("conv1"), relu, max_pool(pool), conv2d("conv2"), relu, max_pool(pool), flatten, layer_norm("norm"), linear("lin1"), relu, dropout, linear("lin2")]
+
+
+def canvas_cnn(pool: int = 2) -> list[Layer]:
+    """As pair_cnn without normalising, for canvases of several images, to the logits of a digit or of a sum."""
+    return [conv2d("conv1"), relu, max_pool(pool), conv2d("conv2"), relu, max_pool(pool), flatten, linear("lin1"), relu, dropout, linear("lin2")]
 
 
 def perceptron(layers: int = 2) -> list[Layer]:
@@ -108,17 +123,21 @@ def sum_layer() -> list[Layer]:
     return [linear("hidden"), relu, linear("out")]
 
 
-def shapes(kind: str, side: int = 8, pool: int = 2, filters: tuple[int, int] = (4, 8), kernel: int = 3, hidden: int = 16) -> dict[str, tuple[int, ...]]:
-    """Shapes of the parameters of a network over side * side images."""
+def shapes(kind: str, side: int = 8, pool: int = 2, filters: tuple[int, int] = (4, 8), kernel: int = 2, hidden: int = 16, out: int = 10) -> dict[str, tuple[int, ...]]:
+    """Shapes of the parameters of a network over side * side images: plain, lenet, pair, canvas, mlp or sum."""
     a, b = filters
     left = ((side - kernel + 1) // pool - kernel + 1) // pool
-    first, second = (("encoder1", "encoder2") if kind == "lenet" else ("conv1", "conv2"))
-    out = {f"{first}.weight": (a, 1, kernel, kernel), f"{first}.bias": (a,), f"{second}.weight": (b, a, kernel, kernel), f"{second}.bias": (b,)}
-    dense = {"lenet": [("classifier1", b * left**2, hidden), ("classifier2", hidden, hidden), ("classifier3", hidden, 10)], "sum": [("hidden", 20, 64), ("out", 64, 19)], "mlp": [("fc1", side * side, hidden), ("fc2", hidden, 10)]}.get(kind, [("fc1", b * left**2, hidden), ("fc2", hidden, 10)])
-    out = {} if kind in ("sum", "mlp") else out
+    if kind not in ("mlp", "sum") and left < 1:
+        raise ValueError(f"nothing is left of images of {side} by {side} after two kernels of {kernel} and pools of {pool}")
+    flat = b * left**2
+    first, second = ("encoder1", "encoder2") if kind == "lenet" else ("conv1", "conv2")
+    convolutions = {f"{first}.weight": (a, 1, kernel, kernel), f"{first}.bias": (a,), f"{second}.weight": (b, a, kernel, kernel), f"{second}.bias": (b,)}
+    two = [("lin1", flat, hidden), ("lin2", hidden, out)]
+    dense = {"lenet": [("classifier1", flat, hidden), ("classifier2", hidden, hidden), ("classifier3", hidden, out)], "pair": two, "canvas": two, "plain": [("fc1", flat, hidden), ("fc2", hidden, out)], "sum": [("hidden", 20, 64), ("out", 64, 19)], "mlp": [("fc1", side * side, hidden), ("fc2", hidden, out)]}[kind]
+    found = {} if kind in ("sum", "mlp") else convolutions
     for name, x, y in dense:
-        out |= {f"{name}.weight": (y, x), f"{name}.bias": (y,)}
-    return out | ({"norm.weight": (hidden,), "norm.bias": (hidden,)} if kind == "pair" else {})
+        found |= {f"{name}.weight": (y, x), f"{name}.bias": (y,)}
+    return found | ({"norm.weight": (flat,), "norm.bias": (flat,)} if kind == "pair" else {})
 
 
 def initial(shape: dict[str, tuple[int, ...]], seed: int = 0) -> Params:
@@ -139,3 +158,22 @@ def predict(df: DataFrame, layers: list[Layer], params: Params, side: int | None
                 yield pd.DataFrame({"k": f["k"], "probs": list(forward(layers, x, sent.value))})
 
     return df.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, "k long, probs array<double>").withColumnRenamed("k", key)
+
+
+def layer_times(df: DataFrame, layers: list[Layer], params: Params, side: int | None, vector: str = "embedding") -> DataFrame:
+    """layer (its number), ms (mean of an Arrow batch's time in it), batches."""
+    sent = df.sparkSession.sparkContext.broadcast(params)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = np.stack(f["v"].to_numpy()).astype(float)
+                x, spent = x if side is None else x.reshape(len(x), 1, side, side), []
+                for layer in layers:
+                    began = time.perf_counter()
+                    x = layer(x, sent.value)
+                    spent.append((time.perf_counter() - began) * 1000)
+                yield pd.DataFrame({"layer": range(len(layers)), "ms": spent})
+
+    each = df.select(F.col(vector).alias("v")).mapInPandas(run, "layer int, ms double")
+    return each.groupBy("layer").agg(F.avg("ms").alias("ms"), F.count("*").alias("batches"))
