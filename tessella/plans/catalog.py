@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.operators import constraints as C
-from tessella.operators import facts, infer, losses, metrics, networks, rules, training
+from tessella.operators import facts, infer, losses, metrics, networks, rules, sensors, training
 from tessella.operators import provenance as P
+from tessella.operators.program import Program
 from tessella.plans.oracle import SQL
 from tessella.sources import datasets as D
 from tessella.sources import tables
@@ -327,8 +330,116 @@ def at_most_exactly(spark, d):
 
 @query
 def mean_log_prob(spark, d):
-    g = _pairs(spark, d).select(F.explode(F.array(F.array_max("p0"), F.array_max("p1"), F.array_max(rules.sum_of_two()))).alias("p"))
-    return g.agg(r6(F.avg(F.log("p"))).alias("mean_log_prob"))
+    """Over all classes of all variables: both digits, and the sum, whose layer's outputs stand as scores."""
+    g = _pairs(spark, d).select(F.transform("p0", lambda p: F.log(p)).alias("a"), F.transform("p1", lambda p: F.log(p)).alias("b"), S.log_softmax(rules.sum_of_two()).alias("c"))
+    return g.select(F.explode(F.concat("a", "b", "c")).alias("p")).agg(r6(F.avg("p")).alias("mean_log_prob"))
+
+
+@query
+def resummed_digits(spark, d):
+    """The sum of decoded digits, through their one-hot distributions."""
+    p = _decoded(spark, d).filter("method = 'ilp'")
+    return p.select("ex", S.argmax(S.antidiagonal_sums(S.one_hot(F.col("d0"), 10), S.one_hot(F.col("d1"), 10))).alias("s"))
+
+
+# Rules as text
+
+#: Clauses of the sum rules: digits of images, numbers as lists of digits, noise, and bags of pairs.
+PROGRAM = """
+nn(digit_net, [X], Y, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) :: digit(X, Y).
+0.1 :: noisy.
+%s.
+sum(X, Y, Z) :- digit(X, A), digit(Y, B), Z is A + B.
+sum_noisy(X, Y, Z) :- noisy, even(X, Y, Z).
+sum_noisy(X, Y, Z) :- \\+ noisy, sum(X, Y, Z).
+value([], V, V).
+value([H | T], V, W) :- digit(H, D), U is D + 10 * V, value(T, U, W).
+value(L, W) :- value(L, 0, W).
+sum_any(L, Z) :- member([X, Y], L), sum(X, Y, Z).
+""" % "; ".join(f"1/19 :: even(X, Y, {k})" for k in range(19))
+
+
+def _program(spark, d) -> Program:
+    return Program(PROGRAM).network("digit_net", lambda: _dist(spark, d))
+
+
+def _bags(spark, d, n: int) -> DataFrame:
+    """ex and the ids i0 to i{n - 1} of each n consecutive vectors."""
+    first = facts.images(spark, d).select("vec_id").filter(F.col("vec_id") % n == 0)
+    return first.select(F.expr(f"vec_id div {n}").alias("ex"), *[(F.col("vec_id") + i).alias(f"i{i}") for i in range(n)])
+
+
+def _two_relations(spark, d) -> Program:
+    rows = _digits(spark, d).withColumn("ex", F.expr("vec_id div 2"))
+    out = Program("sum_2(a + b) :- digit_1(a), digit_2(b)", style="datalog")
+    for i in (0, 1):
+        out.relation(f"digit_{i + 1}", rows.filter(F.col("vec_id") % 2 == i), ["value"], context=["ex"], variable="vec_id")
+    return out
+
+
+@query
+def rule_sum2(spark, d):
+    return _two_relations(spark, d).query("sum_2(s)", keys=["ex"]).select("ex", "s", r6("prob").alias("prob"))
+
+
+@query
+def rule_sum2_dense(spark, d):
+    layer = _two_relations(spark, d).forward("sum_2(s)", list(range(19)), keys=["ex"])
+    return layer().select("ex", F.posexplode("probs").alias("s", "p")).select("ex", "s", r6("p").alias("prob"))
+
+
+@query
+def rule_best_first(spark, d):
+    return _two_relations(spark, d).query("sum_2(s)", keys=["ex"], engine="approximate").select("ex", "s", r6("prob").alias("prob"))
+
+
+@query
+def rule_noisy(spark, d):
+    return _program(spark, d).query("sum_noisy(I0, I1, S)", _bags(spark, d, 2), ["ex"]).select("ex", "s", r6("prob").alias("prob"))
+
+
+@query
+def rule_any_sum(spark, d):
+    return _program(spark, d).query("sum_any([[I0, I1], [I1, I2]], S)", _bags(spark, d, 3), ["ex"]).select("ex", "s", r6("prob").alias("prob"))
+
+
+@query
+def rule_number(spark, d):
+    return _program(spark, d).query("value([I0, I1], N)", _bags(spark, d, 2), ["ex"]).select("ex", F.col("n").cast("long").alias("number"), r6("prob").alias("prob"))
+
+
+@query
+def rule_same_image(spark, d):
+    return _program(spark, d).query("sum(I0, I0, S)", _bags(spark, d, 1), ["ex"]).select("ex", "s", r6("prob").alias("prob"))
+
+
+def _cnn(spark, d) -> DataFrame:
+    params = networks.initial(networks.shapes("plain"), 1)
+    return networks.predict(facts.images(spark, d), networks.plain_cnn(), params, 8)
+
+
+@query
+def rule_network(spark, d):
+    """The sum rule over a convolutional network's predictions."""
+    program = Program("nn(net, [X], Y, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) :: digit(X, Y). sum(X, Y, Z) :- digit(X, A), digit(Y, B), Z is A + B.").network("net", lambda: _cnn(spark, d))
+    return program.query("sum(I0, I1, S)", _bags(spark, d, 2), ["ex"]).select("ex", "s", r6("prob").alias("prob"))
+
+
+@query
+def sensor_program(spark, d):
+    """Images and pairs as concepts: digits by a learner, both over edges to the pair, the sum by a function of them."""
+    graph = sensors.Graph()
+    image = graph.concept("image", "vec_id")
+    image["pixels"] = sensors.ReaderSensor("embedding")
+    image["probs"] = sensors.ModuleLearner("pixels", lambda df, key, x: df.select(key, S.softmax(S.logits(F.col(x))).alias("probs")))
+    image["digit"] = sensors.FunctionalSensor(("probs",), S.argmax)
+    relate = lambda t: t.filter(F.col("vec_id") % 2 == 0).select(F.expr("vec_id div 2").alias("ex"), F.col("vec_id").alias("img0"), (F.col("vec_id") + 1).alias("img1"))
+    pair = graph.concept("pair", "ex", sensors.JointSensor("image", relate))
+    for i in (0, 1):
+        pair[f"p{i}"] = sensors.EdgeSensor("image", f"img{i}", "probs")
+        pair[f"d{i}"] = sensors.EdgeSensor("image", f"img{i}", "digit")
+    pair["s"] = sensors.FunctionalSensor(("p0", "p1"), lambda a, b: S.argmax(S.antidiagonal_sums(a, b)))
+    return graph.build({"image": facts.images(spark, d)})["pair"].select("ex", "d0", "d1", "s")
 
 
 # Weak labels and losses
@@ -428,7 +539,8 @@ def subset_n_plus_1(spark, d):
 
 @query
 def split_ranges(spark, d):
-    parts = D.readers(facts.images(spark, d), 300, 50, 100, 100)
+    img = facts.images(spark, d)
+    parts = D.readers(img, *D.shares(img.count()))
     rows = None
     for name, df in parts.items():
         one = df.select(F.lit(name).alias("part"), "vec_id", "label")
@@ -443,8 +555,9 @@ def sampler_in_order(spark, d):
 
 @query
 def image_lookup(spark, d):
-    wanted = spark.range(0, 400, 7).select(F.col("id").alias("vec_id"))
-    return D.lookup(facts.images(spark, d), wanted).select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    img = facts.images(spark, d)
+    wanted = spark.range(0, img.agg(F.max("vec_id")).first()[0] + 1, 7).select(F.col("id").alias("vec_id"))
+    return D.lookup(img, wanted).select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("first"))
 
 
 @query
@@ -505,7 +618,7 @@ def digit_histogram(spark, d):
 def distribution_text(spark, d):
     h = D.histogram(facts.images(spark, d), F.col("label"), 10)
     counts = h.agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("c"))
-    return counts.select(S.distr_string(F.transform("c", lambda r: r["n"])).alias("text"))
+    return counts.select(S.counts_text(F.transform("c", lambda r: r["n"])).alias("text"))
 
 
 @query
@@ -659,27 +772,33 @@ def windowed_events(spark, d):
 # Iterative operators and networks: rows only
 
 
-def _with_logits(spark, d):
+def _vector_pairs(spark, d):
     rows = facts.images(spark, d).withColumn("ex", F.expr("vec_id div 2"))
-    at = lambda i: F.max(F.when(F.col("vec_id") % 2 == i, F.col("embedding")))
-    g = rows.groupBy("ex").agg(at(0).alias("x0"), at(1).alias("x1")).filter("x1 IS NOT NULL")
-    return g.select("ex", S.logits(F.col("x0")).alias("z0"), S.logits(F.col("x1")).alias("z1"), F.transform(F.slice("x0", 11, 19), lambda x: x.cast("double")).alias("zs"))
+    at = lambda i, c: F.max(F.when(F.col("vec_id") % 2 == i, F.col(c)))
+    g = rows.groupBy("ex").agg(at(0, "embedding").alias("x0"), at(1, "embedding").alias("x1"), at(0, "label").alias("d0"), at(1, "label").alias("d1"))
+    return g.filter("d1 IS NOT NULL").withColumn("s", F.col("d0") + F.col("d1"))
 
 
 @query
 def gbi_refine(spark, d):
-    return infer.refine(_with_logits(spark, d))
+    return infer.refine(_vector_pairs(spark, d), infer.initial_parameters(64))
 
 
 @query
 def gbi_refine_in_sequence(spark, d):
-    return infer.refine_in_sequence(_with_logits(spark, d).withColumn("part", F.col("ex") % 8))
+    """Sequences of 32 pairs: their number grows with the table."""
+    return infer.refine_in_sequence(_vector_pairs(spark, d).withColumn("part", F.expr("ex div 32")), infer.initial_parameters(64))
 
 
-def _training_pairs(spark, d):
-    rows = facts.images(spark, d).withColumn("ex", F.expr("vec_id div 2"))
-    at = lambda i, c: F.max(F.when(F.col("vec_id") % 2 == i, F.col(c)))
-    return rows.groupBy("ex").agg(at(0, "embedding").alias("x0"), at(1, "embedding").alias("x1"), (at(0, "label") + at(1, "label")).alias("s")).filter("s IS NOT NULL")
+@query
+def gbi_training(spark, d):
+    """Two rounds of learning by refinement, with the weights saved after each and read back: round, pairs, satisfied, and
+    the norm of the saved weights."""
+    folder = tables.scratch(spark, "gbi")
+    pairs = _vector_pairs(spark, d).withColumn("part", F.expr("ex div 32"))
+    _, log = infer.learn_by_refining(pairs, infer.initial_parameters(64), rounds=2, steps=20, interval=1, save=lambda n, w: tables.save_epoch(spark, folder, n, {"task": w}))
+    norms = tables.epochs(spark, folder, ["task"]).select("epoch", F.explode("values").alias("v")).groupBy(F.col("epoch").alias("round")).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return spark.createDataFrame(log, "round int, pairs long, satisfied long").join(norms, "round")
 
 
 def _training_log(spark, log):
@@ -688,16 +807,25 @@ def _training_log(spark, log):
 
 @query
 def train_linear_head(spark, d):
-    pairs = _training_pairs(spark, d)
-    return _training_log(spark, [("semantic", training.train(pairs, 64, training.semantic, training.Adam(0.01), 2)[1])])
+    return _training_log(spark, [("semantic", training.train(_vector_pairs(spark, d), 64, training.semantic, training.Adam(0.01), 2)[1])])
 
 
 @query
 def train_programs(spark, d):
-    """One epoch of each of the other programs: dual ascent, drawn assignments, weak digit labels."""
-    pairs = _training_pairs(spark, d)
-    runs = [("primal_dual", training.train(pairs, 64, training.primal_dual, training.Adam(0.01), 1, multiplier_rate=0.1)[1]), ("sampling", training.train(pairs, 64, training.sampling(100), training.Sgd(0.1), 1)[1]), ("digit_labels", training.train(pairs, 64, training.digit_labels, training.Sgd(0.1), 1)[1])]
-    return _training_log(spark, runs)
+    """Epochs of the other programs: dual ascent with a task loss, drawn assignments, weak digit labels, true digit
+    labels, the explicit sum."""
+    pairs = _vector_pairs(spark, d)
+    programs = {"primal_dual": training.primal_dual(training.digit_labels, 0.1), "sampling": training.sampling(100), "digit_labels": training.digit_labels, "supervised": training.supervised, "explicit_sum": training.explicit_sum}
+    return _training_log(spark, [(m, training.train(pairs, 64, f, training.Adam(0.01), 2, multiplier_rate=0.1 * (m == "primal_dual"))[1]) for m, f in programs.items()])
+
+
+@query
+def training_evaluation(spark, d):
+    """What an evaluation after every second epoch logs, on training and validation pairs."""
+    pairs = _vector_pairs(spark, d)
+    check = training.Evaluation(2, True, pairs.filter("ex % 5 = 0"), {"accuracy": metrics.accuracy_of, "macro_f1": metrics.macro_f1_of})
+    training.train(pairs.filter("ex % 5 <> 0"), 64, training.supervised, training.Adam(0.01), 2, evaluation=check)
+    return spark.createDataFrame(check.log, "epoch int, pairs string, tracker string, value double")
 
 
 @query
@@ -709,9 +837,12 @@ def few_shot_sweep(spark, d):
 @query
 def network_predict(spark, d):
     """A small convolutional classifier with given parameters, on vectors as 8 * 8 images."""
-    params = networks.initial(networks.shapes("plain"), 1)
-    out = networks.predict(facts.images(spark, d), networks.plain_cnn(), params, 8)
-    return out.select("vec_id", S.argmax(F.col("probs")).alias("pred"), r6(S.total(F.col("probs"))).alias("total"))
+    return _cnn(spark, d).select("vec_id", S.argmax(F.col("probs")).alias("pred"), r6(S.total(F.col("probs"))).alias("total"))
+
+
+@query
+def network_layer_times(spark, d):
+    return networks.layer_times(facts.images(spark, d), networks.plain_cnn(), networks.initial(networks.shapes("plain"), 1), 8)
 
 
 @query
@@ -721,4 +852,40 @@ def composed_canvases(spark, d):
     return D.canvases(rows).select("key", F.size("pixels").alias("n"), F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
 
 
+# Written and read back
+
+
+def _some_arrays(spark, d, ids) -> dict:
+    rows = facts.images(spark, d).filter(F.col("vec_id").isin(list(ids))).orderBy("vec_id").collect()
+    return {f"layer{r['vec_id']}.weight": np.array(r["embedding"], float).reshape(8, 8) for r in rows}
+
+
+@query
+def parameters_saved(spark, d):
+    """Five vectors as parameters, saved, and loaded less one of them."""
+    path = tables.scratch(spark, "parameters")
+    tables.save_parameters(spark, _some_arrays(spark, d, range(5)), path)
+    return tables.parameters(spark, path, ["layer2.weight"]).select("name", F.size("shape").alias("axes"), F.size("values").alias("n"), F.round(S.total(F.col("values")), 4).alias("total"))
+
+
+@query
+def checkpoints_saved(spark, d):
+    """Epochs of a task's and a constraint's parameters; epoch 1 is saved twice, the second time counts."""
+    folder = tables.scratch(spark, "checkpoints")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)
+        for epoch, i in ((0, 0), (1, 1), (2, 2), (1, 3)):
+            tables.save_epoch(spark, folder, epoch, {"task": _some_arrays(spark, d, [i]), "constraints": _some_arrays(spark, d, [i + 10])})
+    return tables.epochs(spark, folder, ["task", "constraints"]).select("epoch", "model", "name", F.round(S.total(F.col("values")), 4).alias("total"))
+
+
+@query
+def accuracies_saved(spark, d):
+    """Accuracy by label, as tab-separated lines and back."""
+    path = tables.scratch(spark, "accuracies")
+    hit = (F.col("pred") == F.col("label")).cast("double")
+    tables.write_tsv(_predictions(spark, d).groupBy("label").agg(r6(F.avg(hit)).alias("accuracy"), F.count("*").alias("n")), path)
+    return tables.read_tsv(spark, path, "label int, accuracy double, n long")
+
+
 __all__ = ["oracle_sql", "queries"]

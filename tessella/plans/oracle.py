@@ -39,6 +39,32 @@ p1 AS (SELECT req, CAST(s AS INTEGER) AS s, CAST(greatest(0, s - 9) + u % (least
 proposals AS (SELECT req, s, d0, s - d0 AS d1 FROM p1)"""
 _LOG = "log_ AS (SELECT event_id % 200 AS epoch, event_type AS method, value AS loss FROM events)"
 
+
+
+def _numbers(name: str, columns: str, array) -> str:
+    """A table of an array's values by their places."""
+    import numpy as np
+
+    rows = ", ".join("(" + ", ".join([*map(str, at), f"{float(v)!r}::DOUBLE"]) + ")" for at, v in np.ndenumerate(array))
+    return f"{name}({columns}) AS (VALUES {rows})"
+
+
+def _cnn() -> str:
+    """The plain network of the catalog: kernels of 2 by 2 over 8 by 8 images, pools of 2, two linear layers."""
+    from tessella.operators import networks
+
+    w = networks.initial(networks.shapes("plain"), 1)
+    parts = [_numbers("w1", "o, ch, i, j, w", w["conv1.weight"]), _numbers("b1", "o, b", w["conv1.bias"]), _numbers("w2", "o, ch, i, j, w", w["conv2.weight"]), _numbers("b2", "o, b", w["conv2.bias"])]
+    parts += [_numbers("w3", "o, x, w", w["fc1.weight"]), _numbers("b3", "o, b", w["fc1.bias"]), _numbers("w4", "o, x, w", w["fc2.weight"]), _numbers("b4", "o, b", w["fc2.bias"])]
+    parts += ["px AS (SELECT vec_id, 0 AS ch, i // 8 AS r, i % 8 AS c, v FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings))"]
+    for n, source, last in ((1, "px", 6), (2, "m1", 1)):
+        parts += [f"c{n} AS (SELECT vec_id, o, p.r - i AS r, p.c - j AS c, sum(v * w) + any_value(b) AS v FROM {source} p JOIN w{n} USING (ch) JOIN b{n} USING (o) WHERE p.r - i BETWEEN 0 AND {last} AND p.c - j BETWEEN 0 AND {last} GROUP BY 1, 2, 3, 4)"]
+        parts += [f"m{n} AS (SELECT vec_id, o AS ch, r // 2 AS r, c // 2 AS c, max(v) AS v FROM c{n} WHERE r < {(last + 1) // 2 * 2} AND c < {(last + 1) // 2 * 2} GROUP BY 1, 2, 3, 4)"]
+    parts += ["h AS (SELECT vec_id, w3.o AS x, greatest(sum(v * w) + any_value(b), 0) AS v FROM m2 JOIN w3 ON w3.x = m2.ch JOIN b3 ON b3.o = w3.o GROUP BY vec_id, w3.o)"]
+    parts += ["z AS (SELECT vec_id, w4.o AS k, sum(v * w) + any_value(b) AS x FROM h JOIN w4 ON w4.x = h.x JOIN b4 ON b4.o = w4.o GROUP BY vec_id, w4.o)"]
+    return ",\n".join([*parts, "e AS (SELECT vec_id, k, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM z)", "cnn AS (SELECT vec_id, CAST(k AS INTEGER) AS value, e / sum(e) OVER (PARTITION BY vec_id) AS prob FROM e)"])
+
+
 _SUM2 = f"WITH {_PAIR} SELECT ex, a + b AS s, round({{agg}}, 6) AS prob FROM pair GROUP BY ex, a + b"
 _TOPK = f"""WITH {_PAIR}, proofs AS (SELECT ex, a + b AS s, pa * pb AS p, row_number() OVER (PARTITION BY ex, a + b ORDER BY pa * pb DESC, a) AS nth FROM pair)
 SELECT ex, s, round({{agg}}, 6) AS prob FROM proofs WHERE nth <= {{k}} GROUP BY ex, s"""
@@ -97,8 +123,28 @@ SELECT ex, a AS d0, b AS d1, a + b AS s, round(score, 6) AS score FROM r WHERE n
     "before_after_rates": f"WITH {_DECODED} SELECT method, round(avg(CASE WHEN d0 = l0 AND d1 = l1 THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS incorrect, round(avg(CASE WHEN d0 + d1 = s THEN 0.0::DOUBLE ELSE 1.0 END), 6) AS unsatisfied FROM full_ GROUP BY method",
     "incorrect_pairs": f"WITH {_DECODED} SELECT ex, d0, d1, l0, l1 FROM full_ WHERE method = 'argmax' AND (d0 <> l0 OR d1 <> l1)",
     "at_most_exactly": f"WITH {_DIGIT} SELECT vec_id, CAST(count(*) FILTER (prob > 0.2::DOUBLE) AS INTEGER) AS n, count(*) FILTER (prob > 0.2::DOUBLE) = 1 AS exactly_one, count(*) FILTER (prob > 0.2::DOUBLE) <= 1 AS at_most_one FROM digit GROUP BY vec_id",
-    "mean_log_prob": f"""WITH {_SUM}, tops AS (SELECT max(pa) AS p FROM pair GROUP BY ex UNION ALL SELECT max(pb) FROM pair GROUP BY ex UNION ALL SELECT max(p) FROM sums GROUP BY ex)
-SELECT round(avg(ln(p)), 6) AS mean_log_prob FROM tops""",
+    "mean_log_prob": f"""WITH {_SUM}, logs AS (SELECT ln(pa) AS p FROM (SELECT DISTINCT ex, a, pa FROM pair) UNION ALL SELECT ln(pb) FROM (SELECT DISTINCT ex, b, pb FROM pair)
+  UNION ALL SELECT p - ln(sum(exp(p)) OVER (PARTITION BY ex)) FROM sums)
+SELECT round(avg(p), 6) AS mean_log_prob FROM logs""",
+    "resummed_digits": f"WITH {_DECODED} SELECT ex, CAST(d0 + d1 AS INTEGER) AS s FROM decoded WHERE method = 'ilp'",
+    "rule_sum2": _SUM2.format(agg="sum(pa * pb)"),
+    "rule_sum2_dense": _SUM2.format(agg="sum(pa * pb)"),
+    "rule_best_first": _TOPK.format(agg="sum(p)", k=1),
+    "rule_noisy": f"WITH {_SUM} SELECT ex, s, round(0.1::DOUBLE / 19 + 0.9::DOUBLE * p, 6) AS prob FROM sums",
+    "rule_any_sum": f"""WITH {_DIGIT}, world AS (SELECT a.vec_id // 3 AS ex, a.value + b.value AS s1, b.value + c.value AS s2, a.prob * b.prob * c.prob AS p
+FROM digit a JOIN digit b ON a.vec_id % 3 = 0 AND b.vec_id = a.vec_id + 1 JOIN digit c ON c.vec_id = a.vec_id + 2)
+SELECT ex, s, round(sum(p), 6) AS prob FROM (SELECT ex, s1 AS s, p FROM world UNION ALL SELECT ex, s2, p FROM world WHERE s1 <> s2) GROUP BY ex, s""",
+    "rule_number": f"WITH {_PAIR} SELECT ex, CAST(10 * a + b AS BIGINT) AS number, round(pa * pb, 6) AS prob FROM pair",
+    "rule_same_image": f"WITH {_DIGIT} SELECT vec_id AS ex, value + value AS s, round(prob, 6) AS prob FROM digit",
+    "rule_network": f"WITH {_cnn()} SELECT a.vec_id // 2 AS ex, a.value + b.value AS s, round(sum(a.prob * b.prob), 6) AS prob FROM cnn a JOIN cnn b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1 GROUP BY 1, 2",
+    "network_predict": f"WITH {_cnn()} SELECT vec_id, arg_max(value, (prob, -value)) AS pred, round(sum(prob), 6) AS total FROM cnn GROUP BY vec_id",
+    "sensor_program": f"WITH {_DECODED} SELECT ex, d0, d1, s FROM decoded WHERE method = 'argmax'",
+    "composed_canvases": "WITH p AS (SELECT vec_id // 2 AS key, vec_id, unnest(embedding) AS v FROM embeddings) SELECT key, CAST(256 AS INTEGER) AS n, round(sum(CAST(v AS DOUBLE)) - (256 - count(*)), 3) AS total FROM p GROUP BY key",
+    "parameters_saved": "WITH p AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id IN (0, 1, 3, 4)) SELECT 'layer' || vec_id || '.weight' AS name, CAST(2 AS INTEGER) AS axes, CAST(count(*) AS INTEGER) AS n, round(sum(v), 4) AS total FROM p GROUP BY vec_id",
+    "checkpoints_saved": """WITH k(epoch, model, i) AS (VALUES (0, 'task', 0), (1, 'task', 3), (2, 'task', 2), (0, 'constraints', 10), (1, 'constraints', 13), (2, 'constraints', 12)),
+p AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), t AS (SELECT vec_id, round(sum(v), 4) AS total FROM p GROUP BY vec_id)
+SELECT CAST(epoch AS INTEGER) AS epoch, model, 'layer' || i || '.weight' AS name, total FROM k JOIN t ON t.vec_id = i""",
+    "accuracies_saved": f"WITH {_PRED} SELECT label, round(avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM pred GROUP BY label",
     "weak_labels": "WITH t AS (SELECT CAST(a.range + b.range AS INTEGER) AS s, CAST(a.range AS INTEGER) AS d FROM range(10) a, range(10) b) SELECT s, d, round(1.0::DOUBLE / count(*) OVER (PARTITION BY s), 6) AS prob FROM t",
     "joint_marginals": f"WITH {_PAIR}, j AS (SELECT a, a + b AS s, sum(pa * pb) AS p FROM pair GROUP BY a, a + b) SELECT a, s, round(p, 5) AS prob, round(sum(p) OVER (PARTITION BY s), 5) AS prob_s FROM j",
     "bce_loss": f"WITH {_SUM}, l AS (SELECT ex, avg(CASE WHEN s = target THEN -greatest(ln(p), -100) ELSE -greatest(ln(1 - p), -100) END) AS loss FROM sums GROUP BY ex) SELECT round(avg(loss), 6) AS loss, count(*) AS n FROM l",
@@ -120,16 +166,17 @@ SELECT round(avg(-ln(first_.p) + 0.7::DOUBLE * (1 - sums.p)), 6) AS loss, count(
     "shuffled_batches": f"WITH {_RANK} SELECT vec_id, rn, rn // 16 AS batch FROM ranked",
     "sample_exact_n": "SELECT vec_id, label FROM embeddings ORDER BY md5('11:' || vec_id), vec_id LIMIT 100",
     "subset_n_plus_1": "SELECT vec_id, label FROM embeddings WHERE label IN (0, 2, 4) ORDER BY vec_id LIMIT 9",
-    "split_ranges": """SELECT part, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last, CAST(sum(label) AS BIGINT) AS labels
-FROM embeddings JOIN (VALUES ('train', 0, 299), ('train_mini', 0, 49), ('valid', 300, 399), ('test', 400, 499)) t(part, lo, hi) ON vec_id BETWEEN lo AND hi GROUP BY part""",
+    "split_ranges": """WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT n, CAST(floor(n * 0.6) AS BIGINT) AS a, CAST(floor(n * 0.1) AS BIGINT) AS m, CAST(floor(n * 0.2) AS BIGINT) AS v FROM n),
+parts AS (SELECT unnest(['train', 'train_mini', 'valid', 'test']) AS part, unnest([0, 0, a, a + v]) AS lo, unnest([a, m, a + v, n]) AS hi FROM b)
+SELECT part, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last, CAST(sum(label) AS BIGINT) AS labels FROM embeddings JOIN parts ON vec_id >= lo AND vec_id < hi GROUP BY part""",
     "sampler_in_order": "SELECT CAST(pos AS BIGINT) AS pos, e.vec_id, label FROM (VALUES (0, 7), (1, 3), (2, 99), (3, 3), (4, 42)) t(pos, vec_id) JOIN embeddings e ON e.vec_id = t.vec_id",
-    "image_lookup": "SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id < 400 AND vec_id % 7 = 0",
+    "image_lookup": "SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id % 7 = 0",
     "ground_queries": "SELECT vec_id AS img, label FROM embeddings",
     "operator_dataset": f"WITH {_EXAMPLES} SELECT ex, array_to_string(v, ',') AS args, CAST((l[1] * 10 + l[2]) + (l[3] * 10 + l[4]) AS BIGINT) AS expected FROM m",
     "operator_dataset_products": f"""WITH {_RANK}, m AS (SELECT rn // 3 AS ex, list(vec_id ORDER BY rn) AS v, list(label ORDER BY rn) AS l FROM ranked GROUP BY 1 HAVING count(*) = 3)
 SELECT ex, array_to_string(v, ',') AS args, CAST(l[1] * l[2] * l[3] AS BIGINT) AS expected FROM m""",
     "dataset_json": f"WITH {_EXAMPLES} SELECT ex, '[[[' || v[1] || ',' || v[2] || '],[' || v[3] || ',' || v[4] || ']],' || CAST(l[1] * 10 + l[2] + l[3] * 10 + l[4] AS BIGINT) || ']' AS json, CAST(2 AS INTEGER) AS groups FROM m",
-    "dataset_lines": f"WITH {_EXAMPLES} SELECT ex, array_to_string(v, ' ') || chr(9) || CAST(l[1] * 10 + l[2] + l[3] * 10 + l[4] AS BIGINT) AS line FROM m",
+    "dataset_lines": f"WITH {_EXAMPLES} SELECT ex, '(' || array_to_string(v, ', ') || ')' || chr(9) || CAST(l[1] * 10 + l[2] + l[3] * 10 + l[4] AS BIGINT) AS line FROM m",
     "proposed_sums": f"WITH {_PROPOSALS.format(n=500)} SELECT req, s, d0, d1 FROM proposals",
     "proposal_histogram": f"WITH {_PROPOSALS.format(n=500)} SELECT CAST(t.range AS INTEGER) AS value, count(s) AS n FROM range(19) t LEFT JOIN proposals ON s = t.range GROUP BY 1",
     "balanced_sum_sample": f"""WITH {_PROPOSALS.format(n=60)}, asked AS (SELECT req, 0 AS pos, d0 AS digit FROM proposals UNION ALL SELECT req, 1, d1 FROM proposals),

@@ -31,18 +31,34 @@ def split(images: DataFrame, bounds: dict[str, tuple[int, int]], key: str = "vec
 
 
 def readers(images: DataFrame, train: int, mini: int, valid: int, test: int) -> dict[str, DataFrame]:
-    """train, train_mini (the first of train), valid and test by consecutive ranges of the id."""
+    """train, train_mini (the first of train), valid and test by consecutive ranges of the id. Raises if the table has
+    fewer rows than they ask for."""
+    if (rows := images.count()) < train + valid + test or mini > train:
+        raise ValueError(f"{train} + {valid} + {test} rows, {mini} of the first, asked of a table of {rows}")
     return split(images, {"train": (0, train - 1), "train_mini": (0, mini - 1), "valid": (train, train + valid - 1), "test": (train + valid, train + valid + test - 1)})
 
 
+def shares(rows: int, train: float = 0.6, mini: float = 0.1, valid: float = 0.2) -> tuple[int, int, int, int]:
+    """Sizes of train, its first part, valid and test (the rest) of so many rows."""
+    n = int(rows * train)
+    return n, int(rows * mini), int(rows * valid), rows - n - int(rows * valid)
+
+
+def ranked(df: DataFrame, h: Column, name: str, key: str = "vec_id", within: list[str] = ()) -> DataFrame:
+    """df with its rank (from 0) in the order of a hexadecimal hash, in each group. Ranks are sums over 4096 prefixes of
+    the hash, so no task sorts all rows of a group."""
+    rows = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = rows.groupBy(*within, "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*within, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inner = F.row_number().over(Window.partitionBy(*within, "__b").orderBy("__h", key)) - 1
+    out = rows.withColumn("__r", inner).join(sizes if within else F.broadcast(sizes), [*within, "__b"])
+    return out.withColumn(name, F.col("__base") + F.col("__r")).drop("__h", "__b", "__r", "__base")
+
+
 def shuffled_rank(df: DataFrame, seed: int, key: str = "vec_id") -> DataFrame:
-    """df with rn, from 0 in hash order. Ranks are sums over 4096 hash prefixes, so no task sorts all rows."""
-    rows = df.withColumn("__h", S.hash_order(seed, F.col(key))).withColumn("__b", F.substring("__h", 1, 3))
-    sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inner = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
-    return rows.withColumn("__r", inner).join(F.broadcast(sizes), "__b").withColumn("rn", F.col("__base") + F.col("__r")).drop("__h", "__b", "__r", "__base")
+    """df with rn, from 0 in hash order."""
+    return ranked(df, S.hash_order(seed, F.col(key)), "rn", key)
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, key: str = "vec_id") -> DataFrame:
@@ -69,10 +85,12 @@ def batches(ranked: DataFrame, size: int, rank: str = "rn") -> DataFrame:
     return ranked.withColumn("batch", F.expr(f"{rank} div {size}"))
 
 
-def operator_examples(images: DataFrame, size: int = 1, arity: int = 2, operator: Callable[[Column, Column], Column] = lambda a, x: a + x, seed: int | None = None) -> DataFrame:
+def operator_examples(images: DataFrame, size: int = 1, arity: int = 2, operator: Callable[[Column, Column], Column] = lambda a, x: a + x, seed: int | None = None, of_list: Callable[[list[int]], int] | None = None) -> DataFrame:
     """ex, args (arity numbers of size ids each), digits (their labels), expected (the operator over the numbers).
 
-    Ids are taken in order, or in hash order with a seed; what doesn't fill an example is left out.
+    operator folds Columns; of_list, any Python function of the list of numbers, takes its place where no fold can say
+    it, one Arrow batch at a time. Ids are taken in order, or in hash order with a seed; what doesn't fill an example is
+    left out.
     """
     if size < 1 or arity < 1:
         raise ValueError("size and arity must be at least 1")
@@ -83,6 +101,13 @@ def operator_examples(images: DataFrame, size: int = 1, arity: int = 2, operator
     cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(arity - 1)), lambda i: F.transform(F.slice("m", i * size + 1, size), lambda r: r[c]))
     rows = rows.select("ex", cut("vec_id").alias("args"), cut("label").alias("digits"))
     numbers = F.transform("digits", S.digits_to_number)
+    if of_list is not None:
+
+        @F.pandas_udf("long")
+        def expected(lists: pd.Series) -> pd.Series:
+            return lists.map(lambda x: int(of_list([int(v) for v in x]))).astype("int64")
+
+        return rows.withColumn("expected", expected(numbers))
     first = F.get(numbers, F.lit(0))
     return rows.withColumn("expected", F.aggregate(F.slice(numbers, 2, max(1, arity - 1)) if arity > 1 else F.array().cast("array<bigint>"), first, operator))
 
@@ -103,8 +128,10 @@ def example_json(examples: DataFrame) -> Column:
 
 
 def example_line(examples: DataFrame) -> Column:
-    """The digit groups, flattened, and the expected number, with a tab between."""
-    return F.concat(F.concat_ws(" ", F.transform(F.flatten("args"), lambda x: x.cast("string"))), F.lit("\t"), F.col("expected").cast("string"))
+    """The digit groups, flattened, as a tuple, and the expected number, with a tab between: `(1, 2)<tab>3`."""
+    ids = F.flatten("args")
+    inner = F.concat_ws(", ", F.transform(ids, lambda x: x.cast("string")))
+    return F.concat(F.lit("("), inner, F.when(F.size(ids) == 1, ",)").otherwise(")"), F.lit("\t"), F.col("expected").cast("string"))
 
 
 def proposals(spark: SparkSession, n: int, seed: int) -> DataFrame:
@@ -123,8 +150,14 @@ def balanced_pairs(images: DataFrame, requests: DataFrame, seed: int, strict: bo
     strict raises; else those requests are left out.
     """
     asked = requests.select("req", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("d0").alias("digit")), F.struct(F.lit(1).alias("pos"), F.col("d1").alias("digit")))).alias("a")).select("req", "a.*")
-    asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("digit").orderBy("req", "pos")))
-    pool = images.select(F.col("label").alias("digit"), "vec_id", F.row_number().over(Window.partitionBy("label").orderBy(S.hash_order(seed, F.col("vec_id")), "vec_id")).alias("k"))
+    # in the order of the requests, two levels again: 4096 of them to a window
+    chunk = F.expr("req div 4096")
+    sizes = asked.groupBy("digit", chunk.alias("chunk")).agg(F.count("*").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("digit").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("digit", "chunk").orderBy("req", "pos"))
+    asked = asked.withColumn("chunk", chunk).withColumn("inner", inner).join(sizes.select("digit", "chunk", base.alias("base")), ["digit", "chunk"])
+    asked = asked.withColumn("k", F.col("base") + F.col("inner")).drop("chunk", "inner", "base")
+    pool = ranked(images.select(F.col("label").alias("digit"), "vec_id"), S.hash_order(seed, F.col("vec_id")), "rank", within=["digit"]).select("digit", "vec_id", (F.col("rank") + 1).alias("k"))
     got = asked.join(pool, ["digit", "k"], "left")
     if strict:
         got = got.withColumn("vec_id", F.when(F.col("vec_id").isNull(), F.raise_error(F.lit("a digit has too few vectors")).cast("long")).otherwise(F.col("vec_id")))

@@ -87,6 +87,12 @@ def test_datasets(spark):
     assert D.operator_examples(img, 2, 2).count() == 10
     with pytest.raises(ValueError):
         D.operator_examples(img, 0)
+    odd = D.operator_examples(img, 1, 3, of_list=lambda x: sorted(x)[1]).orderBy("ex").first()
+    assert odd["expected"] == sorted(labels[i] for i in range(3))[1]
+    assert [r[0] for r in D.operator_examples(img, 1, 1).orderBy("ex").select(D.example_line(D.operator_examples(img, 1, 1))).take(1)] == [f"(0,)\t{labels[0]}"]
+    with pytest.raises(ValueError, match="asked of a table of 41"):
+        D.readers(img, 30, 5, 10, 10)
+    assert {k: v.count() for k, v in D.readers(img, *D.shares(41)).items()} == {"train": 24, "train_mini": 4, "valid": 8, "test": 9}
     many = D.proposals(spark, 400, 1)
     assert all(0 <= r["d0"] <= 9 and 0 <= r["d1"] <= 9 and r["d0"] + r["d1"] == r["s"] for r in many.collect())
     with pytest.raises(Exception, match="too few"):
@@ -131,7 +137,7 @@ def test_layers():
     assert np.allclose(normed.mean(axis=1), 0) and np.allclose(normed.var(axis=1), 1, atol=1e-3)
 
 
-@pytest.mark.parametrize(("kind", "layers"), [("plain", networks.plain_cnn()), ("lenet", networks.lenet()), ("pair", networks.pair_cnn()), ("mlp", networks.perceptron())])
+@pytest.mark.parametrize(("kind", "layers"), [("plain", networks.plain_cnn()), ("lenet", networks.lenet()), ("pair", networks.pair_cnn()), ("canvas", networks.canvas_cnn()), ("mlp", networks.perceptron())])
 def test_networks(spark, kind, layers):
     params = networks.initial(networks.shapes(kind), 1)
     img = images(spark, 12)
@@ -139,7 +145,25 @@ def test_networks(spark, kind, layers):
     rows = img.orderBy("vec_id").collect()
     direct = networks.forward(layers, np.array([r["embedding"] for r in rows], np.float32).astype(float).reshape(-1, 1, 8, 8), params)
     assert all(np.allclose(out[r["vec_id"]], v) for r, v in zip(rows, direct, strict=True))
-    assert kind == "pair" or np.allclose(direct.sum(axis=1), 1)
+    assert kind in ("pair", "canvas") or np.allclose(direct.sum(axis=1), 1)
+    assert np.ptp(direct, axis=0).max() > 1e-6  # the images matter
+    times = networks.layer_times(img, layers, params, 8).collect()
+    assert sorted(r["layer"] for r in times) == list(range(len(layers))) and all(r["ms"] >= 0 and r["batches"] >= 1 for r in times)
+
+
+def test_network_parts():
+    params = networks.initial(networks.shapes("lenet"), 1)
+    x = np.random.default_rng(1).normal(size=(3, 1, 8, 8))
+    code = networks.forward(networks.lenet_encoder(), x, params)
+    assert code.shape == (3, 8) and np.allclose(networks.forward(networks.lenet_classifier(), code, params), networks.forward(networks.lenet(), x, params))
+    # parameters of 28 by 28 images with kernels of 5: 256 values are normalised, then 256 to 128 to 10
+    full = networks.shapes("pair", 28, filters=(6, 16), kernel=5, hidden=128)
+    assert full["norm.weight"] == (256,) and full["lin1.weight"] == (128, 256) and full["lin2.weight"] == (10, 128)
+    assert networks.forward(networks.pair_cnn(), np.ones((2, 1, 28, 28)), networks.initial(full)).shape == (2, 10)
+    wide = networks.shapes("canvas", 56, filters=(6, 16), kernel=5, hidden=512, out=19)
+    assert wide["lin1.weight"] == (512, 16 * 11 * 11) and networks.forward(networks.canvas_cnn(), np.ones((3, 1, 56, 56)), networks.initial(wide)).shape == (3, 19)
+    with pytest.raises(ValueError):
+        networks.shapes("plain", 8, kernel=3)
 
 
 def test_sum_layer_shapes():
@@ -147,37 +171,82 @@ def test_sum_layer_shapes():
     assert networks.forward(networks.sum_layer(), np.ones((3, 20)), params).shape == (3, 19)
 
 
-@pytest.mark.parametrize("objective", [training.semantic, training.primal_dual, training.digit_labels])
+@pytest.mark.parametrize("objective", [training.semantic, training.violation, training.primal_dual(), training.primal_dual(training.supervised, 0.3), training.digit_labels, training.supervised, training.explicit_sum])
 def test_gradients_by_finite_differences(objective):
     rng = np.random.default_rng(6)
     a, b, s = rng.dirichlet(np.ones(10), 4), rng.dirichlet(np.ones(10), 4), np.array([0, 9, 13, 18])
-    ga, gb, _, _ = objective(a, b, s, 0.7)
+    d0 = np.array([0, 4, 7, 9])
+    of = lambda a, b: objective(training.Batch(a, b, s, d0, s - d0, weight=0.7))
+    ga, gb, _, _ = of(a, b)
     for g, x, first in ((ga, a, True), (gb, b, False)):
         for r, c in ((0, 0), (1, 4), (2, 7), (3, 9)):
             ends = []
             for h in (1e-6, -1e-6):
                 y = x.copy()
                 y[r, c] += h
-                ends.append(objective(y, b, s, 0.7)[2] if first else objective(a, y, s, 0.7)[2])
+                ends.append(of(y, b)[2] if first else of(a, y)[2])
             assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[r, c], rel=1e-3, abs=1e-5)
 
 
 def test_training_lowers_the_loss(spark):
     rng = np.random.default_rng(8)
     labels = rng.integers(0, 10, (200, 2))
-    rows = [(np.eye(10)[a].tolist(), np.eye(10)[b].tolist(), int(a + b)) for a, b in labels]
-    df = spark.createDataFrame(rows, "x0 array<double>, x1 array<double>, s int").repartition(4)
+    rows = [(i, np.eye(10)[a].tolist(), np.eye(10)[b].tolist(), int(a), int(b), int(a + b)) for i, (a, b) in enumerate(labels)]
+    df = spark.createDataFrame(rows, "ex long, x0 array<double>, x1 array<double>, d0 int, d1 int, s int")
     seen = []
-    w, log = training.train(df, 10, training.semantic, training.Adam(0.3), 12, after_epoch=lambda e, w: seen.append(e.number))
+    w, log = training.train(df.repartition(4), 10, training.semantic, training.Adam(0.3), 12, after_epoch=lambda e, w: seen.append(e.number))
     assert log[-1].loss < 0.6 * log[0].loss and seen == list(range(13)) and w.shape == (10, 11)
-    _, dual = training.train(df, 10, training.primal_dual, training.Sgd(0.1), 2, multiplier_rate=0.5)
+    _, dual = training.train(df, 10, training.primal_dual(), training.Sgd(0.1), 2, multiplier_rate=0.5)
     assert dual[2].multiplier > dual[1].multiplier > dual[0].multiplier == 1.0
+    check = training.Evaluation(3, True, df.limit(50))
+    training.train(df, 10, training.supervised, training.Adam(0.3), 6, evaluation=check)
+    assert [x[:3] for x in check.log] == [(e, p, "accuracy") for e in (0, 3, 6) for p in ("train", "valid")] and check.log[-1][3] > 0.95
+    # drawn numbers belong to the pairs, not to the tasks
+    one, four = (training.train(df.repartition(n), 10, training.sampling(20), training.Sgd(0.1), 2)[1] for n in (1, 4))
+    assert [(round(e.loss, 9), round(e.violation, 9)) for e in one] == [(round(e.loss, 9), round(e.violation, 9)) for e in four]
+    with pytest.raises(Exception, match="d0 and d1"):
+        training.train(df.drop("d0"), 10, training.supervised, epochs=1)
+
+
+def test_refinement_gradient_by_finite_differences():
+    rng = np.random.default_rng(3)
+    w = {k: v[None].repeat(2, axis=0) for k, v in infer.initial_parameters(5, 1).items()}
+    origin = {k: v + rng.normal(0, 0.1, v.shape) for k, v in w.items()}
+    x0, x1, open_ = rng.normal(size=(2, 5)), rng.normal(size=(2, 5)), np.array([1.0, 0.0])
+    got = infer.refinement_gradient(w, origin, x0, x1, open_, 0.3)
+    for name, v in w.items():
+        for at in (tuple(rng.integers(0, n) for n in v.shape[1:]) for _ in range(4)):
+            for n in (0, 1):
+                ends = []
+                for h in (1e-6, -1e-6):
+                    y = {k: x.copy() for k, x in w.items()}
+                    y[name][(n, *at)] += h
+                    ends.append(infer.refinement_loss(y, origin, x0, x1, open_, 0.3)[n])
+                assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(got[name][(n, *at)], rel=1e-4, abs=1e-7)
+
+
+def test_refinement(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist(), rng.normal(size=6).tolist(), i % 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "ex long, x0 array<double>, x1 array<double>, part int")
+    params = infer.initial_parameters(6, 2)
+    out = {r["ex"]: r for r in infer.refine(df, params, weight=0.1, rate=0.5, steps=60).collect()}
+    assert len(out) == 30 and all(r["satisfied"] == (r["d0"] + r["d1"] == r["s"]) and (r["satisfied"] or r["steps"] == 60) for r in out.values())
+    assert sum(r["satisfied"] for r in out.values()) > sum(r["steps"] == 0 for r in out.values())
+    again = {r["ex"]: r for r in infer.refine(df.repartition(5), params, weight=0.1, rate=0.5, steps=60).collect()}
+    assert out == again
+    follow = {r["ex"]: r for r in infer.refine_in_sequence(df, params, weight=0.1, rate=0.5, steps=60).collect()}
+    assert all(follow[i] == out[i] for i in range(3)) and len(follow) == 30  # the first of each part begins alike
+    saved = []
+    new, log = infer.learn_by_refining(df, params, 3, 0.1, 0.5, 10, interval=2, save=lambda n, w: saved.append(n))
+    assert saved == [2, 3] and [x[:2] for x in log] == [(1, 30), (2, 30), (3, 30)]
+    assert {k: v.shape for k, v in new.items()} == {k: v.shape for k, v in params.items()}
 
 
 def test_few_shot(spark):
     rows = [(i, np.eye(10)[i % 10].tolist(), i % 10) for i in range(60)]
     img = spark.createDataFrame(rows, "vec_id long, x array<double>, label int")
-    got = dict(training.few_shot(img, (5, 20), epochs=60, rate=1.0, decay=0.0))
+    got = dict(training.few_shot(img, (5, 20), epochs=60, rate=0.05, decay=0.0))
     assert got[20] == 1.0 and got[5] < 1.0
 
 
@@ -202,7 +271,7 @@ def test_few_shot_sweep_runs_all_sizes(spark, monkeypatch):
 
 def test_scalars(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0], [1, 2, 0])], "z array<double>, d array<int>")
-    r = df.select(S.argmax(F.col("z")).alias("a"), S.digits_to_number(F.col("d")).alias("n"), S.total(S.softmax(F.col("z"))).alias("t"), S.distr_string(F.col("d")).alias("s"), S.clamp(F.lit(5.0), 0, 1).alias("c")).first()
+    r = df.select(S.argmax(F.col("z")).alias("a"), S.digits_to_number(F.col("d")).alias("n"), S.total(S.softmax(F.col("z"))).alias("t"), S.counts_text(F.col("d")).alias("s"), S.clamp(F.lit(5.0), 0, 1).alias("c")).first()
     assert (r["a"], r["n"], r["s"], r["c"]) == (1, 120, "0: 1 || 1: 2 || 2: 0", 1.0) and r["t"] == pytest.approx(1)
     nan = spark.createDataFrame([(float("nan"),), (2.0,), (4.0,)], "x double")
     assert nan.agg(S.nanmean(F.col("x"))).first()[0] == 3.0
