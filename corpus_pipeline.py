@@ -19,27 +19,32 @@ SHARDS = 8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without letters, or of no clear language, go."""
+    """Documents whose language can be told: those without letters (null and empty texts too), or of no clear language,
+    go. Repeated rows stay or go together; other columns pass; no rows give none."""
     return identified(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near copies."""
+    """One document, that with the least id, of each group of near copies; of rows that repeat that id, one. A null id is
+    less than others. Texts without words stay; other columns pass; no rows give none."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts, and all if the benchmark is empty, stay; rows that
+    repeat an id are judged each by its own text; other columns pass; no rows give none."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: not at all, once or twice. A null source is a source; texts
+    without words aren't taken; rows equal in id, source and size are taken equally often; no rows give none."""
     return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with shard and slot; shards have nearly equal bytes."""
+    """All rows with shard and slot; shards have nearly equal bytes. A null text counts one byte, a null id comes first,
+    equal rows have slots of their own; columns named shard and slot are replaced; no rows give none."""
     return histogram_shards(docs, SHARDS)
 
 
