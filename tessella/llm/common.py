@@ -106,21 +106,23 @@ def id_out(column):
 _libc = None
 
 
-def lean() -> None:
-    """Lets this worker give memory back to the system: large arrays when they are freed, the rest now. A worker lives
-    for many tasks, beside others in one executor."""
+def lean(done: bool = False) -> None:
+    """Sets how this worker keeps memory, as it lives for many tasks, beside others in one executor: large arrays reuse
+    what freed ones leave (new pages are dear), and when a task is done, what it has freed goes back to the system."""
     global _libc
-    import ctypes
-
     if _libc is None:
+        import ctypes
+
         try:
             _libc = ctypes.CDLL(None)
-            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: from here on, a block of its own, unmapped when freed
+            _libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD: smaller blocks come from the heap
+            _libc.mallopt(-1, 512 << 20)  # M_TRIM_THRESHOLD: which isn't given back on the way
         except (OSError, AttributeError):
             _libc = False
-    if _libc and hasattr(_libc, "malloc_trim"):
-        _libc.malloc_trim(0)
-    pa.default_memory_pool().release_unused()
+    if done:
+        if _libc and hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +146,10 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of about limit bytes of text (one long text alone may have more): batch, bytes, offsets."""
+    lean()
     for batch in batches:
         if not batch.num_rows:
             continue
-        lean()
         raw, off = utf8(batch.column(text))
         lo = 0
         while lo < batch.num_rows:
@@ -155,7 +157,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo), raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
-    lean()
+    lean(done=True)
 
 
 def int64(col: pa.Array) -> np.ndarray:

@@ -1,24 +1,27 @@
 """Substring dedup by suffix automata.
 
 Windows of 20 words whose words occur earlier (in a document with a smaller id, or earlier in the same one) are
-removed. Runs of windows meet by their anchors (see windows); where they meet, the distinct runs, in order of their
-first occurrence, are streamed through a suffix automaton of the runs before them, which gives at each word the
-longest match that ends there (the matching statistics). Matches as long as a window are removed as maximal spans; then
-the run joins the automaton. So an automaton is a shard of the reference texts (all documents) that holds those runs
-which can match at all: a document meets those shards only, instead of being streamed past every shard's broadcast
-automaton, whose number grows with the corpus.
+removed. Candidate runs of windows meet by their anchors (see windows); so many anchors' runs as SOLVED_BYTES hold are
+the reference shard of one suffix automaton. The different runs of a shard are streamed through it in the order of
+their first occurrence, which gives at each word the longest match that ends there (the matching statistics); matches
+as long as a window are removed as maximal spans; then the run joins the automaton, and is streamed once more for its
+copies, which are all later. So what is removed, of first occurrences and of copies, are the spans that matching finds.
+
+Shards aren't broadcast to all documents: with all documents as reference their number grows with the corpus, and so
+would the passes over it. A text is streamed past the shards that hold its anchors; others can't match it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_out
-from .windows import Group, Runs, Words, documents, merged, solve, with_spans
+from .windows import Block, Runs, Spans, Words, documents, merged, solve, with_spans
 
 WINDOW = 20
 GRAM = 8
@@ -86,51 +89,53 @@ class SuffixAutomaton:
         return out
 
 
-def earlier_spans(group: Group, size: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """Spans of each run's first occurrence that an earlier run has as well; rows are (id, pos, n, data) in order
-    of id and pos."""
+def matched(statistics: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Maximal spans of the matches of size and more."""
+    lo = hi = -1
+    for end, have in enumerate(statistics, 1):
+        if have >= size:
+            if end - size > hi:
+                if hi >= 0:
+                    yield lo, hi
+                lo = end - size
+            hi = end
+    if hi >= 0:
+        yield lo, hi
+
+
+def earlier_spans(block: Block, size: int = WINDOW) -> tuple[Spans, Spans, Spans]:
+    """Spans of each run that start earlier: none that go everywhere; of its first occurrence; of its copies."""
     automaton, numbers = SuffixAutomaton(), {}
-    for k, (doc, pos, _, data) in enumerate(group):
-        sequence = [numbers.setdefault(w, len(numbers)) for w in data.split()]
-        if k:
-            lo = hi = -1
-            for end, have in enumerate(automaton.statistics(sequence), 1):
-                if have >= size:
-                    if end - size > hi:
-                        if hi >= 0:
-                            yield doc, pos + lo, pos + hi
-                        lo = end - size
-                    hi = end
-            if hi >= 0:
-                yield doc, pos + lo, pos + hi
+    later, copied = [], []
+    for i in np.lexsort((block.place, block.id)).tolist():
+        sequence = [numbers.setdefault(w, len(numbers)) for w in block.data[i].split()]
+        later += [(i, lo, hi) for lo, hi in matched(automaton.statistics(sequence), size)]
         automaton.add(sequence)
+        if block.occurs[i] > 1:
+            copied += [(i, lo, hi) for lo, hi in matched(automaton.statistics(sequence), size)]
+    return tuple(tuple(np.array(x, np.int64).reshape(-1, 3).T) for x in ([], later, copied))
 
 
 def repeated_word_spans(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Of docs (id, text): id, lo, hi, spans of words covered by windows that also start earlier."""
-    found = Runs(docs, Words(size, gram))
-    part = solve(found, lambda groups: (x for g in groups for x in earlier_spans(g, size)))
-    # any but the first occurrence of a run is an earlier one's repetition as a whole
-    many = found.distinct.filter("occurs > 1").select("anchor", "content", F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))
-    again = found.found.select("anchor", "content", "id", "pos", "n").join(many, ["anchor", "content"])
-    again = again.filter("id != first_id OR pos != first_pos").select("id", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1 + size).alias("hi"))
-    return part.unionByName(again)
+    """Of docs (id, key, text): id, key, kind (1), lo, hi, spans of words covered by windows that also start earlier."""
+    return solve(Runs(docs, Words(size, gram)), lambda block: earlier_spans(block, size))
 
 
 def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """One row per row of df: doc_id, n_words, n_removed, kept (the kept words joined by one space).
 
-    A null text has no words, and kept is empty as for an empty one. A null id comes before all others. Rows that
-    repeat an id are the same document: none is earlier than the other. No rows give none. Windows are judged on the
-    input, not on what is left.
+    A null text has no words, and kept is empty as for an empty one. A null id comes before all others. Rows equal in
+    id and text are the same document: none is earlier than the other. Of texts that share an id, that with the smaller
+    hash is the earlier one. A text of any length is worked through in steps. No rows give none. Windows are judged on
+    the input, not on what is left.
     """
     docs = documents(df, key, text)
-    both = with_spans(docs, repeated_word_spans(docs, size))
+    both = with_spans(docs, repeated_word_spans(docs, size, min(GRAM, size)))
 
     def cut(batches):
         for b in batches:
             total, gone, kept = [], [], []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for t, spans in zip(b.column("text").to_pylist(), b.column("later").to_pylist(), strict=True):
                 words = t.encode().split()
                 total.append(len(words))
                 for lo, hi in reversed(merged(spans)):
@@ -139,7 +144,7 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", size
                 kept.append(b" ".join(words))
             yield pa.record_batch([b.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    out = both.select("id", "text", "spans").mapInArrow(cut, "id long, n_words long, n_removed long, kept string")
+    out = both.select("id", "text", "later").mapInArrow(cut, "id long, n_words long, n_removed long, kept string")
     return out.select(id_out("id").alias("doc_id"), "n_words", "n_removed", "kept")
 
 

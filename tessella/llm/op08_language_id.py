@@ -361,14 +361,15 @@ def identify(df: DataFrame, field: Field | None, text: str = "text", sure: str |
 
     @F.arrow_udf("struct<language:string,score:double,sure:double>")
     def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
         for t in texts:
-            lean()
             raw, off = utf8(t)
             names, score, certainty = np.full(len(t), "und", object), np.zeros(len(t)), np.zeros(len(t))
             if sent.value is not None:
                 which, score, certainty = predict(sent.value, raw, off)
                 names = np.append(np.array(sent.value.languages, object), "und")[which]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(certainty)], names=["language", "score", "sure"])
+        lean(done=True)
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     (made,) = unused(df, "__guess")

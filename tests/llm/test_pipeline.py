@@ -78,6 +78,16 @@ def test_stages(spark, folder):
         assert own == list(range(len(own)))
 
 
+def test_empty_tables(spark, folder, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    # an empty benchmark keeps everything
+    some = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    assert corpus_pipeline.decontamination(spark, some, str(tmp_path)).count() == some.count()
+
+
 def test_run_and_registry(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     out = corpus_pipeline.run(spark, folder[0])
