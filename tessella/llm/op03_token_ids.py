@@ -36,7 +36,11 @@ SLOT_BITS, MEMORY_IDS = 21, 16 << 20
 #: So many words of letters after a space go to the library as one text, each with a line feed behind it: a pre-token
 #: of its own, and never an id of such a word.
 JOINED = 64
+#: Bytes of a text that are encoded in one step; a longer one is cut where a pre-token begins in any case.
+PIECE_BYTES = 2 << 20
 OTHER, LETTER, NUMBER, SPACE = range(4)
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 #: Blocks of code points (first, last) whose classes no Unicode version has changed for long.
 CERTAIN = ((0x00, 0x24F), (0x370, 0x3FF), (0x400, 0x481), (0x2000, 0x205F), (0x20AC, 0x20AC))
 _LIMIT = 0x2100
@@ -216,6 +220,25 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
 
+def cuts(raw: np.ndarray, limit: int = PIECE_BYTES) -> list[int]:
+    """Bounds of pieces of about limit bytes whose ids, one after another, are the whole text's: before single spaces
+    between ASCII letters or digits, where a pre-token begins and no added token stands. A text without such places
+    stays whole."""
+    out, a = [0], 0
+    while len(raw) - a > limit:
+        lo, step, found = a + limit // 2, limit, None
+        while found is None and lo + 2 < len(raw):
+            part = raw[lo : lo + step]
+            ok = np.flatnonzero((part[1:-1] == 0x20) & _PLAIN[part[:-2]] & _PLAIN[part[2:]])
+            found = lo + 1 + int(ok[-1 if lo == a + limit // 2 else 0]) if len(ok) else None
+            lo += step - 2
+        if found is None:
+            break
+        out.append(found)
+        a = found
+    return [*out, len(raw)]
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Each document's ids with end_id behind them."""
     out = np.full(len(ids) + len(sizes), end_id, np.int32)
@@ -231,8 +254,8 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", p
 def write_token_ids(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", folder: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the ids of all texts, in files by ranges of the id; returns the manifest: part, path, docs, tokens.
 
-    A null text is empty, so it has the end id alone; so has an empty one. A null id comes first. Rows that repeat an
-    id follow each other. No rows make no file. tokenizer: a path of a byte-level BPE file that executors can read.
+    A null text is empty, so it has the end id alone; so has an empty one. A text of any length is encoded whole, very
+    long ones piece by piece. A null id comes first. Rows that repeat an id follow each other. No rows make no file. tokenizer: a path of a byte-level BPE file that executors can read.
     """
     spark = tuned(df.sparkSession)
     folder = folder or shared_path(spark, "token-ids")
@@ -255,7 +278,14 @@ def write_token_ids(df: DataFrame, tokenizer: str, key: str = "doc_id", text: st
                     while lo < batch.num_rows:
                         hi = int(np.searchsorted(off, off[lo] + (2 << 20), "right")) - 1
                         hi = min(max(hi, lo + 1), lo + ROW_GROUP, batch.num_rows)
-                        ids, sizes = with_end(*encoder.encode(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), end_id)
+                        own, at = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                        if hi == lo + 1 and len(own) > PIECE_BYTES:
+                            places = cuts(own)
+                            found = [encoder.encode(own[x:y], np.array([0, y - x]))[0] for x, y in zip(places[:-1], places[1:], strict=True)]
+                            ids = np.concatenate(found)
+                            ids, sizes = with_end(ids, np.array([len(ids)]), end_id)
+                        else:
+                            ids, sizes = with_end(*encoder.encode(own, at), end_id)
                         cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                         lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(ids))
                         writer.write_table(pa.Table.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes), lists], schema=_SCHEMA), row_group_size=ROW_GROUP)
@@ -298,14 +328,25 @@ def read_token_ids(manifest: DataFrame, ids: bool = True) -> DataFrame:
 
 
 def tokens_of(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[int]]:
-    """Ids of some documents: row-group statistics and the page index leave out all pages that can't hold them."""
-    import pyarrow.dataset as ds
+    """Ids of some documents. Files are looked into by tasks, a file each; row-group statistics and the page index leave
+    out all pages that can't hold them. Documents that aren't there are left out; of rows that repeat an id one is
+    given; None asks for nothing. The answer is as large as the documents asked for."""
+    wanted = sorted({int(i) for i in doc_ids if i is not None})
 
-    out: dict[int, list[int]] = {}
-    for row in manifest.select("path").toLocalIterator():
-        table = ds.dataset(row["path"].removeprefix("file://").replace("file:", "", 1), format="parquet").to_table(columns=["doc_id", "ids"], filter=ds.field("doc_id").isin(doc_ids))
-        out |= dict(zip(table["doc_id"].to_pylist(), table["ids"].to_pylist(), strict=True))
-    return out
+    def read(batches):
+        import pyarrow.dataset as ds
+
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                with open_file(path) as f, pq.ParquetFile(f) as table:
+                    bounds = [(g, table.metadata.row_group(g).column(0).statistics) for g in range(table.num_row_groups)]
+                    groups = [g for g, s in bounds if s is None or not s.has_min_max or any(s.min <= i <= s.max for i in wanted)]
+                    if groups:
+                        rows = table.read_row_groups(groups, columns=["doc_id", "ids"]).filter(ds.field("doc_id").isin(wanted))
+                        yield from rows.to_batches()
+
+    rows = manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, ids array<int>")
+    return {r["doc_id"]: list(r["ids"]) for r in rows.toLocalIterator()}
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ Q = 8
 #: Edits allowed, as a part of an item's length.
 EDITS = 0.1
 BLOCK_BYTES = 2 << 20
+#: Bytes of a text that are looked through in one step; a longer one goes in pieces that overlap by an item's length.
+PIECE_BYTES = 4 << 20
 TABLE_BITS = 20
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -194,6 +196,34 @@ def matches(items: Items, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, i
     return sorted(out)
 
 
+def pieces(raw: np.ndarray, item: int, limit: int = PIECE_BYTES) -> list[tuple[int, int]]:
+    """Bounds of pieces of a long text, each reaching on over so many bytes without white space that a match of an item
+    of that many bytes lies within one piece. Pieces begin and end at white space; a text without any stays whole."""
+    space = np.flatnonzero(_SPACES[raw])
+    solid = space - np.arange(len(space))  # bytes without white space before each white space
+    out, a = [], 0
+    while len(raw) - a > limit:
+        k = int(np.searchsorted(space, a + limit))
+        if k >= len(space):
+            break
+        end = int(np.searchsorted(solid, solid[k] + item + 1))
+        out.append((a, int(space[end]) if end < len(space) else len(raw)))
+        a = int(space[k])
+    return [*out, (a, len(raw))]
+
+
+def matches_in(items: Items, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """As matches; a single text that is very long goes piece by piece."""
+    if len(off) != 2 or len(raw) <= 2 * PIECE_BYTES:
+        return matches(items, raw, off)
+    best: dict[int, tuple[int, int, int]] = {}
+    longest = int((items.size + items.budget).max(initial=0))
+    for a, z in pieces(raw, longest):
+        for _, i, e, lo, hi in matches(items, raw[a:z], np.array([0, z - a])):
+            best[i] = min(best.get(i, (1 << 60, 0, 0)), (e, lo + a, hi + a))
+    return sorted((0, i, *x) for i, x in best.items())
+
+
 def short_matches(items: Items, data: np.ndarray, begin: np.ndarray, code: np.ndarray, origin: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """As matches, of items of less than q bytes: where a text has them as whole words, without edits."""
     out: list[tuple[int, int, int, int, int]] = []
@@ -254,7 +284,7 @@ def _found(df: DataFrame, benchmark: DataFrame, key: str, text: str, item_key: s
         def find(batches, sent=sent):
             items = sent.value
             for batch, raw, off in chunks(batches):
-                if got := matches(items, raw, off):
+                if got := matches_in(items, raw, off):
                     d, i, e, lo, hi = (np.array(x) for x in zip(*got, strict=True))
                     yield pa.record_batch([pa.array(int64(batch.column("id"))[d]), pa.array(int64(batch.column("hash"))[d]), pa.array(items.ids[i]), pa.array(e, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["id", "hash", "item", "edits", "start_byte", "end_byte"])
 
