@@ -434,7 +434,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
 
 
 def _components(df: DataFrame, key: str, text: str, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """As jaccard_components: id, hash (of the text), n_shingles, component_id."""
+    """As jaccard_components: id, hash (of the text), n_shingles, component_id, and cluster, which tells components apart
+    whose least id is one that rows of different texts share."""
     spark = tuned(df.sparkSession)
     docs = df.select(id_in(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counted, _ = stage(shared_counts(docs, k), "set-sizes")
@@ -469,10 +470,10 @@ def _components(df: DataFrame, key: str, text: str, k: int = WORDS, percent: int
     named = groups.filter("key != 0").groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
     many = counted.groupBy("key").agg(F.count("*").alias("docs")).filter("docs > 1").select("key")
     # most documents are alone: only those in groups need a join
-    grouped = groups.join(named, "component").join(many.withColumn("copied", F.lit(True)), "key", "left").filter("sets > 1 OR copied").select("key", "component_id")
+    grouped = groups.join(named, "component").join(many.withColumn("copied", F.lit(True)), "key", "left").filter("sets > 1 OR copied").select("key", "component", "component_id")
     grouped, _ = stage(grouped, "set-components")
     out = counted.join(maybe_broadcast(grouped, 24), "key", "left")
-    return out.select("id", "hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("component", "key").alias("cluster"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -484,12 +485,12 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     at, of, i, h, nth = unused(df, "__gone", "__hash", "__id", "__own", "__nth")
     found, _ = stage(_components(df, key, text).filter("n_shingles > 0"), "similar-rows")
-    least = found.filter("id = component_id").groupBy("component_id").agg(F.min("hash").alias("least"), F.count("*").alias("rows"))
+    least = found.filter("id = component_id").groupBy("cluster", "component_id").agg(F.min("hash").alias("least"), F.count("*").alias("rows"))
     several, _ = stage(least.filter("rows > 1"), "repeated-ids")
     gone = found.filter("id <> component_id").select("id", "hash")
     repeated = several.count()
     if repeated:  # a group's least id has several rows, of which one text stays
-        gone = gone.union(found.join(maybe_broadcast(several, 24, repeated), "component_id").filter("id = component_id AND hash <> least").select("id", "hash"))
+        gone = gone.union(found.join(maybe_broadcast(several, 32, repeated), ["cluster", "component_id"]).filter("id = component_id AND hash <> least").select("id", "hash"))
     gone, _ = stage(gone.distinct().toDF(at, of), "near-copies")
     rows = df.withColumns({i: id_in(key), h: F.xxhash64(F.col(text))})
     out = rows.join(maybe_broadcast(gone, 24), (F.col(i) == F.col(at)) & (F.col(h) == F.col(of)), "left_anti")
