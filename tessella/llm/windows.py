@@ -40,6 +40,8 @@ FULL = 1 << 26
 GROUP_CONTENTS = 1000
 #: Occurrences of one run that one task joins, about.
 SHARE = 8192
+#: Names of runs that a task remembers as sent.
+SEEN_RUNS = 1 << 18
 #: Bytes of runs that a solver gets at once, about.
 SOLVED_BYTES = 1 << 18
 
@@ -413,11 +415,17 @@ class Runs:
         drop(self.docs.sparkSession, path)
 
         def cut(batches):
+            seen: set[int] = set()
             for read, start, end, n, anchor, at, ids, place in _candidates(form, maps, batches, True, maps.crowded is not None):
                 keep = np.flatnonzero(marked(marks, _occurrence(anchor, ids, place)))
                 for lo in range(0, len(keep), 4096):
                     k = keep[lo : lo + 4096]
                     content, check = digests(read, start[k], end[k], n[k])
+                    # a frequent run comes by chance many times: once a task will do
+                    new = [i for i, c in enumerate(content.tolist()) if c not in seen and not seen.add(c)]
+                    k, content, check = k[new], content[new], check[new]
+                    if len(seen) > SEEN_RUNS:
+                        seen.clear()
                     data = pa.array(list(read.bytes_of(start[k], end[k])), pa.binary())
                     yield pa.record_batch([pa.array(anchor[k]), pa.array(content), pa.array(check), pa.array(at[k].astype(np.int32)), data], names=["anchor", "content", "check", "at", "data"])
 
