@@ -727,8 +727,9 @@ def param_delta_norm(spark, d):
 
 @query
 def hyper_grid(spark, d):
-    axis = lambda name, values: spark.createDataFrame([(v,) for v in values], [name])
-    return axis("iters", [10, 50, 100]).crossJoin(axis("lr", [0.01, 0.1, 1.0])).crossJoin(axis("reg", [0.01, 0.1, 1.0])).crossJoin(axis("samples", [100]))
+    """An axis is one partition made by the engine: a cross join has a task for each combination of its sides' partitions, and a list from Python has a partition for each core."""
+    axis = lambda name, kind, values: spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, values)).cast(f"array<{kind}>")).alias(name))
+    return axis("iters", "long", [10, 50, 100]).crossJoin(axis("lr", "double", [0.01, 0.1, 1.0])).crossJoin(axis("reg", "double", [0.01, 0.1, 1.0])).crossJoin(axis("samples", "long", [100]))
 
 
 # Logs of runs

@@ -1,3 +1,4 @@
+import itertools
 import os
 
 import pytest
@@ -31,3 +32,11 @@ def test_entry(spark):
     assert df.columns == ["ex", "s", "prob"] and df.count() > 0
     for name in catalog.queries():
         assert name in e.queries()
+
+
+def test_hyper_grid_has_few_tasks(spark):
+    """It had a task for each combination of four cores: 256 here, 4096 on eight cores."""
+    df = catalog.queries()["hyper_grid"](spark, SF)
+    assert df.dtypes == [("iters", "bigint"), ("lr", "double"), ("reg", "double"), ("samples", "bigint")]
+    assert sorted(map(tuple, df.collect())) == sorted(itertools.product([10, 50, 100], [0.01, 0.1, 1.0], [0.01, 0.1, 1.0], [100]))
+    assert df.rdd.getNumPartitions() <= 27
